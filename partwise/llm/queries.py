@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import decontaminate
+from .quality_rules import quality_rules
 from .shared import table
 
 
@@ -10,6 +11,10 @@ def op3_winnow_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnow_decontamination,)}
+def op5_line_first_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_winnow_decontamination, op5_line_first_rules)}
 
 ORACLES: dict[str, str] = {}
