@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import decontaminate
 from .quality_rules import quality_rules
+from .secret_scan import secret_spans
 from .shared import table
 
 
@@ -15,6 +16,10 @@ def op5_line_first_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnow_decontamination, op5_line_first_rules)}
+def op6_randomness_battery(spark, sf_dir):
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_winnow_decontamination, op5_line_first_rules, op6_randomness_battery)}
 
 ORACLES: dict[str, str] = {}
