@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import decontaminate
+from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .shared import table
+from .sharding import shard
 
 
 def op3_winnow_decontamination(spark, sf_dir):
@@ -20,6 +22,23 @@ def op6_randomness_battery(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_winnow_decontamination, op5_line_first_rules, op6_randomness_battery)}
+def op4_sampled_splitters(spark, sf_dir):
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op8_bounded_space_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_winnow_decontamination,
+        op4_sampled_splitters,
+        op5_line_first_rules,
+        op6_randomness_battery,
+        op8_bounded_space_packing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
