@@ -8,6 +8,7 @@ from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .shared import table
 from .sharding import shard
+from .signature_join import jaccard_components
 
 
 def op3_winnow_decontamination(spark, sf_dir):
@@ -22,6 +23,10 @@ def op6_randomness_battery(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_signature_tree_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sampled_splitters(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op8_bounded_space_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_signature_tree_join,
         op3_winnow_decontamination,
         op4_sampled_splitters,
         op5_line_first_rules,
