@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import decontaminate
 from .packing import pack
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .shared import table
 from .sharding import shard
 from .signature_join import jaccard_components
+from .toxicity import classify_toxicity
 
 
 def op3_winnow_decontamination(spark, sf_dir):
@@ -31,10 +33,18 @@ def op4_sampled_splitters(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op7_attention_mil(spark, sf_dir):
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bounded_space_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_counterfactual_toxicity(spark, sf_dir):
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -43,7 +53,9 @@ QUERIES = {
         op4_sampled_splitters,
         op5_line_first_rules,
         op6_randomness_battery,
+        op7_attention_mil,
         op8_bounded_space_packing,
+        op9_counterfactual_toxicity,
     )
 }
 
