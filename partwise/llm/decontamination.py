@@ -194,3 +194,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, limit: int = BLOCK
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return merged.select("doc_id", "n_words", "runs", "items").mapInArrow(meet, f"doc_id {first.dataType.simpleString()}, {FIELDS}")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    parts = [Index(block) for block in blocks(benchmark, limit)]
+    if len(parts) == 1:
+        at = documents.columns.index("text")
+
+        def one(batches, index=parts[0]):
+            for b in batches:
+                kept = [not verdict(n, int(sum(e - s for s, e in runs)), items)[4] for n, runs, items in scan(index, b.column(at))]
+                yield b.filter(pa.array(kept, pa.bool_()))
+
+        return documents.mapInArrow(one, documents.schema)
+    from .shared import beside, written
+
+    keyed = written(documents.withColumn("__row_key", F.monotonically_increasing_id()), "decontaminate")
+    bad = decontaminate(keyed.select(F.col("__row_key").alias("doc_id"), "text"), benchmark, limit).where("contaminated")
+    return keyed.join(beside(written(bad.select(F.col("doc_id").alias("__row_key")), "decontaminate")), "__row_key", "left_anti").select(documents.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import decontaminate
+from .html_extraction import extract
 from .packing import pack
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
@@ -25,6 +26,10 @@ def op6_randomness_battery(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op1_wrapper_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_signature_tree_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op9_counterfactual_toxicity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_wrapper_extraction,
         op2_signature_tree_join,
         op3_winnow_decontamination,
         op4_sampled_splitters,

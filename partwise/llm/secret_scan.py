@@ -184,7 +184,8 @@ def secret_spans(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """All documents with all their columns; each span (overlapping ones as one) replaced by mask. Null texts stay null."""
+    """All documents with all their columns; each span (overlapping ones as one) replaced by mask
+    (and n_chars, if there, to match). Null texts stay null."""
     columns = documents.columns
     df = _scanned(documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col("text")))
     spans = F.array_sort(F.concat("__base", "__random"))
@@ -198,4 +199,5 @@ def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     clean = F.when(F.size("__base") + F.size("__random") == 0, F.col("text")).otherwise(cut)
-    return df.select(*(clean.alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in columns))
+    new = {"text": clean} | ({"n_chars": F.length(clean).cast(documents.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return df.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in columns))

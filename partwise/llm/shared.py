@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK = "/tmp/partwise-checkpoints"
 
@@ -28,3 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def beside(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df as the smaller side of a join: sent to all tasks if it has at most rows rows (of a few bytes), else shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import parallelism, written
+from .shared import beside, parallelism, written
 
 SHINGLE, PERCENT = 5, 80
 ORDERED, LOCAL_LEAST, HELD = 1 << 16, 3, 1 << 22
@@ -316,3 +316,15 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     by_set = vertices.select("one", "two", "vertex").join(merged, F.col("vertex") == F.col("node"), "left").select("one", "two", F.coalesce("component", "vertex").alias("component_id"))
     rows = prints.drop("prefix").join(by_set, ["one", "two"], "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(documents: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that have the least id of their component; repeated rows of an id leave one.
+    Rows without an id cannot be told apart by it and stay."""
+    links = written(jaccard_components(documents), "jaccard")
+    gone = written(links.where("doc_id != component_id").select("doc_id").distinct(), "jaccard")
+    kept = documents.join(beside(gone), "doc_id", "left_anti").select(documents.columns)
+    ids = links.where("doc_id is not null")
+    if ids.count() == ids.select("doc_id").distinct().count():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
