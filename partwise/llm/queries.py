@@ -11,6 +11,7 @@ from .secret_scan import secret_spans
 from .shared import table
 from .sharding import shard
 from .signature_join import jaccard_components
+from .suffix_dedup import remove_repeats
 from .toxicity import classify_toxicity
 
 
@@ -50,6 +51,10 @@ def op9_counterfactual_toxicity(spark, sf_dir):
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_difference_cover_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +67,7 @@ QUERIES = {
         op7_attention_mil,
         op8_bounded_space_packing,
         op9_counterfactual_toxicity,
+        op10_difference_cover_dedup,
     )
 }
 
