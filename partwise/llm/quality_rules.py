@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 BLANKS = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+INDEX_BITS = 21
 SYMBOL_PERCENT, NAV_BARS, LOST_PERCENT = 10, 3, 50
 # Phrases of lines that are not part of an article.
 BOILERPLATE = (
@@ -48,32 +49,46 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS), "")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _repeated(words: Column) -> Column:
-    """Words of the 3-word windows found twice or more."""
-
-    def windows(w: Column) -> Column:
-        at = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
-        return _let(F.array_sort(at), starts)
-
-    def starts(s: Column) -> Column:
-        twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-        return _let(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
-
-    def covered(i: Column) -> Column:
-        n = F.size(i)
-        steps = F.zip_with(F.slice(i, 1, F.greatest(n - 1, F.lit(0))), F.slice(i, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.least(b - a, F.lit(3)))
-        return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda total, x: total + x))
-
-    return _let(words, lambda w: F.when(F.size(w) < 6, _few(w)).otherwise(windows(w)))
+def _then(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns as a step of its own: the row id keeps Spark from merging it with the next or filtering beneath it,
+    either of which would compute an array once for each of its elements."""
+    return df.withColumns(columns | {"__row_id": F.monotonically_increasing_id() + 0 * F.col("__row_id")})
+
+
+def _with_repeats(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: the words of the 3-word windows found twice or more.
+
+    A window is one long: the upper bits of its hash, and where it starts in the lower INDEX_BITS. These sort fast; equal
+    upper bits stand side by side. Where neighbours have equal upper bits but other hashes (or a text is too long for the
+    index), the exact but slower way over whole hashes is taken.
+    """
+    low = (1 << INDEX_BITS) - 1
+    w, n = F.col("__words"), F.size("__words")
+    no_longs = F.array().cast("array<bigint>")
+    hashed = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
+    at = F.sequence(F.lit(0), n - 3)
+    packed = F.transform(at, lambda i: hashed(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    df = _then(df, __windows=F.when((n >= 6) & (n <= low), F.sort_array(packed)).otherwise(no_longs))
+    upper = lambda x: F.shiftright(x, INDEX_BITS)
+    s = F.col("__windows")
+    df = _then(df, __twice=F.filter(s, lambda x, k: (upper(x) == upper(F.get(s, k - 1))) | (upper(x) == upper(F.get(s, k + 1)))))
+    t = F.col("__twice")
+    place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    differ = lambda x, k: (k > 0) & (upper(x) == upper(F.get(t, k - 1))) & (hashed(place(x)) != hashed(place(F.get(t, k - 1))))
+    df = _then(df, __slow=(n > low) | (F.size(F.filter(t, differ)) > 0))
+    whole = F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))
+    df = _then(df, __exact=F.when(F.col("__slow"), whole).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    e = F.col("__exact")
+    same = F.filter(e, lambda x, k: (x["h"] == F.get(e, k - 1)["h"]) | (x["h"] == F.get(e, k + 1)["h"]))
+    df = _then(df, __starts=F.sort_array(F.when(F.col("__slow"), F.transform(same, lambda x: x["i"])).otherwise(F.transform(t, place))))
+    i, size = F.col("__starts"), F.size("__starts")
+    steps = F.zip_with(F.slice(i, 1, size - 1), F.slice(i, 2, size - 1), lambda a, b: F.least(b - a, F.lit(3)))
+    covered = F.when(size == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda total, x: total + x))
+    return _then(df, n_repeat_words=F.when(n < 6, _few(w)).otherwise(covered).cast("long"))
 
 
 def _few(w: Column) -> Column:
-    """_repeated() for up to five words: the windows 0, 1 and 2."""
+    """n_repeat_words of up to five words: the windows 0, 1 and 2."""
     same = lambda a, b: (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2])
     n = F.size(w)
     a = (n >= 4) & F.coalesce(same(0, 1), F.lit(False))
@@ -98,25 +113,25 @@ def _line_fails(line: Column) -> Column:
 
 def _judged(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = documents.withColumns({"__words": _words(text), "__lines": lines})
-    kept = F.filter("__lines", lambda x: ~_line_fails(x))
-    df = df.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace(text, BLANKS, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("__words")).cast("long"),
-            "__kept": kept,
-            "__row_id": F.monotonically_increasing_id(),  # keeps filters on the verdict from being pushed into these expressions
-        }
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    lines = F.filter(F.split(text, "\n"), worded)
+    df = _then(documents.withColumn("__row_id", F.lit(0).cast("long")), __words=_words(text), __lines=lines)
+    df = _then(
+        df,
+        n_words=F.size("__words").cast("long"),
+        word_chars=F.length(F.array_join("__words", "")).cast("long"),
+        n_symbols=F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
+        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        __kept=F.filter(F.split(text, "\n"), lambda x: ~(worded(x) & _line_fails(x))),
     )
-    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    left = F.size(_words(F.array_join("__kept", "\n")))
-    return df.withColumn("__kept_words", left.cast("long")).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("__row_id") >= 0) & (100 * (F.col("n_words") - F.col("__kept_words")) <= LOST_PERCENT * F.col("n_words"))
+    df = _with_repeats(df)
+    df = _then(
+        df,
+        __kept_words=F.size(_words(F.array_join("__kept", "\n"))).cast("long"),
+        base_failed=(F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
     )
+    lost = F.col("n_words") - F.col("__kept_words")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("__row_id") >= 0) & (100 * lost <= LOST_PERCENT * F.col("n_words")))
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -126,8 +141,9 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 
 def filter_documents(documents: DataFrame, clean: bool = False) -> DataFrame:
-    """The kept documents with all their columns; clean: with their failed lines removed from text."""
+    """The kept documents with all their columns; clean: without their failed lines (and n_chars, if there, to match)."""
     columns = documents.columns
     slim = documents.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col("text"))
     df = _judged(slim).where("kept").select("__row", F.array_join("__kept", "\n").alias("__clean"))
-    return df.select(*(F.col("__clean").alias(c) if clean and c == "text" else F.col("__row")[c].alias(c) for c in columns))
+    new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast(documents.schema["n_chars"].dataType)} if clean and "n_chars" in columns else {"text": F.col("__clean")} if clean else {}
+    return df.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in columns))
