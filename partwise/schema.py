@@ -1,25 +1,16 @@
-"""Row types of the data model."""
+"""Row types of the data model, as DDL."""
 
-from __future__ import annotations
-
-from pyspark.sql import types as T
-
-
-def _s(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-RAW = _s("key STRING, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, headers ARRAY<STRUCT<key: STRING, value: BINARY>>")
-METADATA = _s("topic STRING, partition INT, offset BIGINT, correlation_id STRING, headers ARRAY<STRUCT<key: STRING, value: BINARY>>, ingested_at TIMESTAMP")
-PAYMENT = _s("accountId STRING, sequenceNumber BIGINT, amount DECIMAL(18,2), currency STRING, type STRING, timestamp TIMESTAMP")
+RAW = ("key STRING, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, headers ARRAY<STRUCT<key: STRING, value: BINARY>>")
+METADATA = ("topic STRING, partition INT, offset BIGINT, correlation_id STRING, headers ARRAY<STRUCT<key: STRING, value: BINARY>>, ingested_at TIMESTAMP")
+PAYMENT = ("accountId STRING, sequenceNumber BIGINT, amount DECIMAL(18,2), currency STRING, type STRING, timestamp TIMESTAMP")
 #: What the stateful processor takes: a parsed event with the outcome its handler gives it.
-EVENT = _s("topic STRING, partition INT, offset BIGINT, source_entity STRING, sequence_number BIGINT, payload STRING, timestamp TIMESTAMP")
+EVENT = ("topic STRING, partition INT, offset BIGINT, source_entity STRING, sequence_number BIGINT, payload STRING, timestamp TIMESTAMP")
 #: What it returns: one row an event, and side rows.
-OUTPUT = _s(
+OUTPUT = (
     "topic STRING, partition INT, offset BIGINT, source_entity STRING, sequence_number BIGINT, payload STRING, disposition STRING, release_reason STRING, "
     "stage STRING, classification STRING, error_class STRING, error_message STRING, retry_count INT, idempotency_key STRING, detail STRING, emitted_at TIMESTAMP"
 )
-BREAKER = _s("state STRING, entered_at BIGINT, last_transition BIGINT, consecutive_failures INT, probe_total INT, probe_ok INT")
+BREAKER = ("state STRING, entered_at BIGINT, last_transition BIGINT, consecutive_failures INT, probe_total INT, probe_ok INT")
 
 # The closed sets of names.
 CIRCUIT_STATES = ("CLOSED", "OPEN", "HALF_OPEN")
