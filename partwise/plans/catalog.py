@@ -97,6 +97,41 @@ def entry(spark, sf_dir):
     return partition_health(spark, sf_dir)
 
 
+# ---- the whole pipeline (stateful: no SQL)
+
+
+def fixture_handler(event: dict):
+    """Debits fail with one of four errors; the amount is the latency."""
+    import json
+
+    from ..streaming import machine as m
+
+    payload = json.loads(event["payload"])
+    latency = float(payload["amount"])
+    if payload["type"] != "DEBIT":
+        return "SUCCESS", latency
+    error = (m.TransientProcessingException, m.PermanentProcessingException, m.ValidationException, ValueError)[event["offset"] % 4]("debit refused")
+    error.latency_ms = latency
+    raise error
+
+
+@query()
+def stateful_pipeline(spark, sf_dir):
+    """Every row of the breaker, reorder, dedup, handler and health machine over the raw view, one final row an event."""
+    from ..config import BreakerSettings, ConsumerSettings
+    from ..streaming import pipeline
+
+    raw = streams.raw_view(_events(spark, sf_dir)).drop("event_id")
+    return pipeline.run_batch(spark, raw, fixture_handler, ConsumerSettings(breaker=BreakerSettings(error_rate_threshold=0.4)))
+
+
+@query()
+def stateful_transitions(spark, sf_dir):
+    """Signals and breaker transitions by partition, from the pipeline's rows."""
+    rows = stateful_pipeline(spark, sf_dir).where("disposition in ('SIGNAL', 'TRANSITION')")
+    return rows.groupBy("partition", "disposition", F.split("detail", ":")[0].alias("what")).agg(F.count("*").alias("n"))
+
+
 # ---- sources
 
 
