@@ -190,8 +190,11 @@ class Machine:
             self._handle(event, now, reason if k == 0 else "CONSECUTIVE")
 
     def flush(self, now: int) -> None:
-        """Everything buffered, by entity and number, then what is held: the end of the input."""
+        """The end of the input: what is held, as its cooldowns pass, and then everything buffered, by entity and number."""
         core = self.s.core
+        while self.s.held:  # each cooldown lets some through
+            now = max(now, core["entered"] + self.set.breaker.cooldown_ms + 1)
+            self.advance(now)
         for entity in sorted(core["heads"]):
             expected, last, waiting = self.s.entities[entity]
             run = [self.s.buffer.pop((entity, seq)) for seq in waiting]
