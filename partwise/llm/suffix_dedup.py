@@ -42,9 +42,9 @@ MATCH, MODULUS = 100, 57
 # A perfect difference set modulo 57; each residue is a difference of two of them.
 COVER = (1, 6, 7, 9, 19, 38, 42, 49)
 BLOCK, AROUND = MATCH - MODULUS + 1, MODULUS - 1
-SLICE, BUCKET_ENTRIES, SMALL_BYTES = 8 << 20, 3_000_000, 48 << 20
+SLICE, BUCKET_ENTRIES, SMALL_BYTES = 6 << 20, 1_500_000, 48 << 20
 DEALT = "bucket long, rids binary, counts binary, places binary, names binary, seconds binary, known binary"
-RUNS = "rid long, runs binary"
+ROUTED = "home long, kind int, rids binary, counts binary, places binary"
 
 
 # ---- places: (rid, pos) in order of rows, positions ascending in each row
@@ -68,15 +68,6 @@ def _unpack(rids: bytes, counts: bytes, planes: bytes) -> tuple[np.ndarray, np.n
     return np.repeat(rid, count), total - np.repeat(total[starts] - step[starts], count)
 
 
-def _by_row(rid: np.ndarray, first: np.ndarray, last: np.ndarray):
-    """Yields (rid, runs) of runs [first, last] of starts."""
-    order = np.lexsort((first, rid))
-    rid, first, last = rid[order], first[order], last[order]
-    turn = np.concatenate(([0], np.flatnonzero(rid[1:] != rid[:-1]) + 1, [len(rid)])) if len(rid) else [0]
-    for a, b in zip(turn[:-1], turn[1:], strict=True):
-        yield int(rid[a]), np.stack((first[a:b], last[a:b]), axis=1).astype("<i4").tobytes()
-
-
 def _deal(buckets: int, rid, pos, names, seconds, known) -> pa.RecordBatch:
     """Entries by bucket of their name (the first of names decides; names dealt: its upper half)."""
     where = (names % np.uint64(buckets)).astype(np.int64)
@@ -185,15 +176,45 @@ def _sample(batches, buckets: int):
             yield _deal(buckets, rid[row[rest]], pos[rest], spread, None, mark[rest])
 
 
-def _places(rid: np.ndarray, pos: np.ndarray) -> pa.Table:
-    order = np.lexsort((pos, rid))
-    rid, pos = rid[order], pos[order]
-    turn = np.concatenate(([0], np.flatnonzero(rid[1:] != rid[:-1]) + 1, [len(rid)])) if len(rid) else [0]
-    rows = [(int(rid[a]), pos[a:b].astype("<i4").tobytes()) for a, b in zip(turn[:-1], turn[1:], strict=True)]
-    return pa.table({"rid": pa.array([r for r, _ in rows], pa.int64()), "places": pa.array([p for _, p in rows], pa.binary())})
-
-
-def _repeated(table: pa.Table) -> pa.Table:
+def _routed(homes: int, parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.Table:
+    """Places of each kind, packed by the home of their row: a row for each home and kind, not for each document."""
+    rows = []
+    for rid, pos, kind in parts:
+        home = ((K.mix(rid.astype(np.uint64) ^ K.GOLD)) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((pos, rid, home))
+        edge = np.searchsorted(home[order], np.arange(homes + 1))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[k] : edge[k + 1]]
+            rows.append((k, kind, *_pack(rid[at], pos[at])))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["home", "kind", "rids", "counts", "places"])
+
+
+def _home(table: pa.Table, reach: int | None) -> pa.Table:
+    """A row for each document: its places of kind 0 (as runs of the starts up to reach before them, if reach is given),
+    and those of kind 1."""
+    by_kind = []
+    for kind in (0, 1):
+        own = table.filter(pa.array([k == kind for k in table.column("kind").to_pylist()], pa.bool_()))
+        pairs = [_unpack(*x) for x in zip(*(own.column(c).to_pylist() for c in ("rids", "counts", "places")), strict=True)]
+        rid = np.concatenate([r for r, _ in pairs] or [np.zeros(0, np.int64)])
+        pos = np.concatenate([p for _, p in pairs] or [np.zeros(0, np.int64)])
+        order = np.lexsort((pos, rid))
+        rid, values = rid[order], pos[order][:, None]
+        if kind == 0 and reach is not None and len(rid):
+            first, last = np.maximum(values[:, 0] - reach, 0), values[:, 0]
+            begin = np.concatenate(([True], (rid[1:] != rid[:-1]) | (first[1:] > last[:-1] + 1)))
+            at = np.flatnonzero(begin)
+            rid, values = rid[at], np.stack((first[at], last[np.concatenate((at[1:] - 1, [len(last) - 1]))]), axis=1)
+        turn = np.concatenate(([0], np.flatnonzero(rid[1:] != rid[:-1]) + 1, [len(rid)])) if len(rid) else [0]
+        by_kind.append({int(rid[a]): values[a:b].astype("<i4").tobytes() for a, b in zip(turn[:-1], turn[1:], strict=True)})
+    rids = sorted(by_kind[0].keys() | by_kind[1].keys())
+    arrays = [pa.array([d.get(r, b"") for r in rids], pa.binary()) for d in by_kind]
+    return pa.table([pa.array(rids, pa.int64()), *arrays], names=["rid", "repeats", "edges"])
+
+
+def _repeated(table: pa.Table, homes: int) -> pa.Table:
     """The places of names with more than one."""
     rid, pos, names, _, known = _gathered(table, False, True)
     told = known == 2
@@ -207,15 +228,14 @@ def _repeated(table: pa.Table) -> pa.Table:
         group = np.cumsum(new) - 1
         many = np.bincount(group, weights=differs) + np.bincount(group, weights=k[order]) > 0
         twice[order] = many[group]
-    return _places(np.concatenate((rid[told], r[twice])), np.concatenate((pos[told], p[twice])))
+    return _routed(homes, [(np.concatenate((rid[told], r[twice])), np.concatenate((pos[told], p[twice])), 0)])
 
 
 # ---- 2: second names; 3: whole strings
 
 
 def _anchors(column) -> list[np.ndarray]:
-    none = np.zeros(0, "<i4")
-    return [np.unique(np.concatenate([none, *(np.frombuffer(x, "<i4") for x in part or ())])).astype(np.int64) for part in column.to_pylist()]
+    return [np.unique(np.frombuffer(x or b"", "<i4")).astype(np.int64) for x in column.to_pylist()]
 
 
 def _second(batches, buckets: int):
@@ -246,7 +266,7 @@ def _deal_two(buckets, rid, pos, names, seconds, known):
     return pa.Table.from_batches([first, second]).combine_chunks().to_batches()[0]
 
 
-def _told(table: pa.Table) -> pa.Table:
+def _told(table: pa.Table, homes: int) -> pa.Table:
     """Places (kind 0) known as repeats, and (kind 1) the first of second names in names with several."""
     rows = [x for x in zip(*(table.column(c).to_pylist() for c in ("rids", "counts", "places", "names", "seconds", "known")), strict=True)]
     rid, pos, names, seconds, told_rid, told_pos = [], [], [], [], [], []
@@ -274,20 +294,22 @@ def _told(table: pa.Table) -> pa.Table:
         edge = new & several
     else:
         repeat = edge = np.zeros(0, dtype=bool)
-    a = _places(np.concatenate([*told_rid, r[repeat]]) if told_rid else r[repeat], np.concatenate([*told_pos, p[repeat]]) if told_pos else p[repeat])
-    b = _places(r[edge], p[edge])
-    kind = pa.array([0] * len(a) + [1] * len(b), pa.int32())
-    return pa.concat_tables([a, b]).append_column("kind", kind)
+    return _routed(homes, [(np.concatenate([*told_rid, r[repeat]]), np.concatenate([*told_pos, p[repeat]]), 0), (r[edge], p[edge], 1)])
 
 
-def _spread(n: int, places: np.ndarray) -> np.ndarray:
-    """Which starts of a text of n bytes have one of places in reach."""
+def _spread(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which starts of a text of n bytes are in a run from first to last."""
     edge = np.zeros(n + 2, dtype=np.int32)
-    np.add.at(edge, np.maximum(places - AROUND, 0), 1)
-    np.add.at(edge, places + 1, -1)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + 1, -1)
     return (np.cumsum(edge)[: max(n - MATCH + 1, 0)]) > 0
 
 
+def _marked(n: int, runs: bytes | None) -> np.ndarray:
+    r = np.frombuffer(runs or b"", "<i4").reshape(-1, 2).astype(np.int64)
+    return _spread(n, r[:, 0], r[:, 1])
+
+
 def _turns(mask: np.ndarray) -> np.ndarray:
     m = np.concatenate(([False], mask, [False]))
     t = np.flatnonzero(m[1:] != m[:-1]).reshape(-1, 2)
@@ -296,28 +318,19 @@ def _turns(mask: np.ndarray) -> np.ndarray:
 
 
 def _strings(batches, buckets: int):
-    """Known runs of repeats pass through as they are (names empty, seconds the runs); other starts are named whole."""
+    """Starts near edges that are not known as repeats, named whole."""
     for rid, lengths, offsets, padded, (known, edges) in _slices(batches, 2):
-        repeats, near = _anchors(known), _anchors(edges)
+        repeats, near = known.to_pylist(), _anchors(edges)
         keep = _unlike_rows(rid)
-        rows, starts, runs_of = [], [], []
+        rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, n in enumerate(lengths.tolist()):
-            if not keep[k]:
-                continue
-            sure = _spread(n, repeats[k])
-            if sure.any():
-                runs_of.append((int(rid[k]), _turns(sure).astype("<i4").tobytes()))
-            if len(near[k]):
-                at = np.flatnonzero(_spread(n, near[k]) & ~sure)
+            if keep[k] and len(near[k]):
+                at = np.flatnonzero(_spread(n, np.maximum(near[k] - AROUND, 0), near[k]) & ~_marked(n, repeats[k]))
                 rows.append(np.full(len(at), k))
                 starts.append(at)
-        if runs_of:
-            ids = [r for r, _ in runs_of]
-            blank = pa.array([b""] * len(ids), pa.binary())
-            spread = pa.array([(r >> 4) % buckets for r in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([spread, pa.array([np.int64(r).tobytes() for r in ids], pa.binary()), blank, blank, blank, pa.array([x for _, x in runs_of], pa.binary()), pa.array([b"\2"] * len(ids), pa.binary())], DEALT.replace(" long", "").replace(" binary", "").split(", "))
-        if rows and (row := np.concatenate(rows)).size:
-            pos, view = np.concatenate(starts), _view(padded)
+        row, pos = np.concatenate(rows), np.concatenate(starts)
+        if row.size:
+            view = _view(padded)
             names = _named(view, offsets[row] + pos, 0, MATCH)
             seconds = K.mix(names * K.C2 ^ view[offsets[row] + pos + 45])
             order, new, _ = _folded((names, seconds), rid[row], pos)
@@ -326,38 +339,22 @@ def _strings(batches, buckets: int):
             yield _deal_two(buckets, rid[row], pos, names, seconds, told)
 
 
-def _equal(table: pa.Table) -> pa.Table:
-    """Runs of starts known as repeats, and those found by whole strings."""
-    out: list[tuple[int, bytes]] = []
-    entries = [k[:1] != b"\2" for k in table.column("known").to_pylist()]
-    for r, runs, entry in zip(table.column("rids").to_pylist(), table.column("seconds").to_pylist(), entries, strict=True):
-        if not entry:
-            out.append((int(np.frombuffer(r, "<i8")[0]), runs))
-    if any(entries):
-        found = _told(table.filter(pa.array(entries)))
-        for rid, places, kind in zip(*(found.column(c).to_pylist() for c in ("rid", "places", "kind")), strict=True):
-            if kind == 0:
-                p = np.frombuffer(places, "<i4")
-                cut = np.flatnonzero(np.diff(p) > 1)
-                out.append((rid, np.stack((p[np.concatenate(([0], cut + 1))], p[np.concatenate((cut, [len(p) - 1]))]), axis=1).astype("<i4").tobytes()))
-    return pa.table({"rid": pa.array([r for r, _ in out], pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())})
-
-
 # ---- the whole
 
 
-def _row(text: str | None, runs: list[bytes] | None, copy: bool) -> tuple[int, int, int, str]:
+def _row(text: str | None, repeats: bytes | None, found: bytes | None, copy: bool) -> tuple[int, int, int, str]:
+    """repeats, found: runs of starts of repeats, by second names and by whole strings."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = len(data)
     if copy and n >= MATCH:
         return n, n, 1, hashlib.sha256(b"").hexdigest()
-    if not runs or copy:
+    if copy or not (repeats or found):
         return n, 0, 0, hashlib.sha256(data).hexdigest()
+    starts = _marked(n, repeats) | _marked(n, found)
     edge = np.zeros(n + 1, dtype=np.int32)
-    for x in runs:
-        r = np.frombuffer(x, "<i4").reshape(-1, 2)
-        np.add.at(edge, r[:, 0], 1)
-        np.add.at(edge, r[:, 1] + MATCH, -1)
+    turns = _turns(starts)
+    edge[turns[:, 0]] += 1
+    np.add.at(edge, turns[:, 1] + MATCH, -1)
     gone = np.cumsum(edge[:-1]) > 0
     kept = np.frombuffer(data, np.uint8)[~gone]
     return n, int(gone.sum()), len(_turns(gone)), hashlib.sha256(kept.tobytes()).hexdigest()
@@ -365,8 +362,8 @@ def _row(text: str | None, runs: list[bytes] | None, copy: bool) -> tuple[int, i
 
 def _results(batches):
     for b in batches:
-        texts, runs, copy = (b.column(k) for k in (1, 2, 3))
-        rows = [_row(t.as_py(), r.as_py(), bool(c.as_py())) for t, r, c in zip(texts, runs, copy, strict=True)]
+        texts, repeats, found, copy = (b.column(k) for k in (1, 2, 3, 4))
+        rows = [_row(t.as_py(), r.as_py(), f.as_py(), bool(c.as_py())) for t, r, f, c in zip(texts, repeats, found, copy, strict=True)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -403,22 +400,30 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     copies = sized.join(_beside(alike, F.lit(48)), ["digest", "n"]).where("rid != first").select("rid").distinct()
     copies = written(copies, "suffix")
     original = docs.select("rid", "text").join(_beside(copies, F.lit(8)), "rid", "left_anti")
-    dealt = original.mapInArrow(lambda b: _sample(b, buckets), DEALT)
-    repeated = dealt.groupBy("bucket").applyInArrow(_repeated, "rid long, places binary")
-    places = written(repeated.groupBy("rid").agg(F.collect_list("places").alias("places")), "suffix")
-    ids = _beside(places.select("rid"), F.lit(8))
-    texts = original.join(ids, "rid", "left_semi").join(places.hint("shuffle_hash"), "rid")
+    def settled(dealt: DataFrame, sort, reach: int | None = None) -> DataFrame:
+        """Dealt entries sorted by bucket, and the places found taken home to their documents."""
+
+        def by_bucket(table: pa.Table) -> pa.Table:
+            return sort(table, buckets)
+
+        def by_home(table: pa.Table) -> pa.Table:
+            return _home(table, reach)
+
+        return dealt.groupBy("bucket").applyInArrow(by_bucket, ROUTED).groupBy("home").applyInArrow(by_home, "rid long, repeats binary, edges binary")
+
+    sampled = original.mapInArrow(lambda b: _sample(b, buckets), DEALT)
+    places = written(settled(sampled, _repeated).select("rid", F.col("repeats").alias("places")), "suffix")
+    texts = original.join(_beside(places.select("rid"), F.lit(8)), "rid", "left_semi").join(places.hint("shuffle_hash"), "rid")
     texts = written(texts, "suffix")
     second = texts.select("rid", "text", "places").mapInArrow(lambda b: _second(b, buckets), DEALT)
-    told = second.groupBy("bucket").applyInArrow(_told, "rid long, places binary, kind int")
-    none = F.array().cast("array<binary>")
-    kinds = [F.coalesce(F.collect_list(F.when(F.col("kind") == k, F.col("places"))), none).alias(c) for k, c in ((0, "repeats"), (1, "edges"))]
-    marks = written(told.groupBy("rid").agg(*kinds), "suffix")
-    third = texts.select("rid", "text").join(marks.hint("shuffle_hash"), "rid").mapInArrow(lambda b: _strings(b, buckets), DEALT)
-    runs = third.groupBy("bucket").applyInArrow(_equal, RUNS).groupBy("rid").agg(F.collect_list("runs").alias("runs"))
-    facts = runs.withColumn("copy", F.lit(False)).unionByName(copies.select("rid", none.alias("runs"), F.lit(True).alias("copy")))
-    facts = written(facts, "suffix")
-    size = F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x))
+    marks = written(settled(second, _told, AROUND), "suffix")
+    near = marks.where(F.octet_length("edges") > 0)
+    third = texts.select("rid", "text").join(_beside(near, F.octet_length("repeats") + F.octet_length("edges")), "rid").mapInArrow(lambda b: _strings(b, buckets), DEALT)
+    found = settled(third, _told, 0).select("rid", F.col("repeats").alias("found"))
+    facts = marks.where(F.octet_length("repeats") > 0).select("rid", "repeats").join(found.where(F.octet_length("found") > 0), "rid", "full").withColumn("copy", F.lit(False))
+    nothing = F.lit(None).cast("binary")
+    facts = written(facts.unionByName(copies.select("rid", nothing.alias("repeats"), nothing.alias("found"), F.lit(True).alias("copy"))), "suffix")
+    size = F.coalesce(F.octet_length("repeats"), F.lit(0)) + F.coalesce(F.octet_length("found"), F.lit(0))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    joined = docs.select("doc_id", "rid", "text").join(_beside(facts, size), "rid", "left").select("doc_id", "text", "runs", "copy")
+    joined = docs.select("doc_id", "rid", "text").join(_beside(facts, size), "rid", "left").select("doc_id", "text", "repeats", "found", "copy")
     return joined.mapInArrow(_results, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
