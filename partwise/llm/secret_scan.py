@@ -199,5 +199,6 @@ def redact(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     clean = F.when(F.size("__base") + F.size("__random") == 0, F.col("text")).otherwise(cut)
-    new = {"text": clean} | ({"n_chars": F.length(clean).cast(documents.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    df = df.select("__row", clean.alias("__clean"))
+    new = {"text": F.col("__clean")} | ({"n_chars": F.length("__clean").cast(documents.schema["n_chars"].dataType)} if "n_chars" in columns else {})
     return df.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in columns))
