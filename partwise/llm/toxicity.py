@@ -23,7 +23,7 @@ from .samples import folded, labelled
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 BUCKETS, LEAST_DOCS = 1 << 18, 5
-EPOCHS, RATE, DECAY, PENALTY, SWAPS = 150, 0.1, 1e-3, 1.0, 3
+EPOCHS, RATE, DECAY, PENALTY, SWAPS = 150, 0.1, 1e-3, 20.0, 3
 # Identity terms that are swapped for one another.
 IDENTITY = (
     "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu "
