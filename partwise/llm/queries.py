@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality_rules as rules
 from .decontamination import decontaminate
 from .html_extraction import extract
 from .packing import pack
@@ -71,4 +72,46 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+# SQL of the operators that SQL can express; the tests hold the others against brute force.
+BLANKS = r"[\x20\x09-\x0D]+"
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+FAILS = f"""(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) * 100 > length(regexp_replace(x, '{BLANKS}', '', 'g')) * {rules.SYMBOL_PERCENT}
+    OR (len(string_split(x, '!!')) - 1) * 4 > len(string_split_regex(trim(x), '{BLANKS}'))
+    OR (len(string_split(x, '|')) - 1 >= {rules.NAV_BARS} AND len(string_split_regex(trim(x), '{BLANKS}')) <= 4 * (len(string_split(x, '|')) - 1))
+    OR regexp_matches(x, '(?i){"|".join(rules.BOILERPLATE)}'))"""
+
+ORACLES: dict[str, str] = {
+    "op2_signature_tree_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * m >= 80 * (a.n + b.n - m)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+    "op3_winnow_decontamination": rf"""
+WITH b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT dw.doc_id, dw.n, dw.k, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id""",
+    "op5_line_first_rules": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w,
+  string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT *, list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS c FROM (SELECT r, k, array_to_string(w[k : k + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2))),
+m AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(k, k + 3)) AS pos FROM g WHERE c > 1) GROUP BY r),
+e AS (SELECT l.*, coalesce(m.n, 0) AS n_repeat_words, len(regexp_extract_all(array_to_string(list_filter(lines, lambda x: NOT {FAILS}), chr(10)), '{WORDS}')) AS kept_words FROM l LEFT JOIN m ON m.r = l.r),
+f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, kept_words, len(w) < 50 OR 100 * n_repeat_words > 50 * len(w) AS base_failed FROM e)
+SELECT *, NOT base_failed AND 100 * (n_words - kept_words) <= {rules.LOST_PERCENT} * n_words AS kept FROM f""",
+}
