@@ -43,3 +43,16 @@ def health_indicator(states: DataFrame, topic: str) -> DataFrame:
     counts = [F.count_if(F.col("state") == k).alias(k.lower()) for k in CIRCUIT_STATES]
     opened = F.array_join(F.sort_array(F.collect_list(F.when(F.col("state") == "OPEN", F.concat_ws("-", F.lit(topic), F.col("p").cast("string"))))), ",")
     return states.agg(F.when(F.count_if(F.col("state") == "OPEN") > 0, "DOWN").otherwise("UP").alias("status"), *counts, opened.alias("open_partitions"))
+
+
+def health_status(states: DataFrame, depths: DataFrame, group: str, status: str = "UNKNOWN") -> DataFrame:
+    """One row for a consumer group: its status, its number of partitions, and their states and depths as maps."""
+    joined = states.select("p", "state").join(depths.groupBy("p").agg(F.max_by("depth", "off").alias("depth")), "p", "full")
+    pair = lambda value: F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", value))))
+    return joined.agg(
+        F.lit(group).alias("consumer_group"),
+        F.lit(status).alias("status"),
+        F.count("*").alias("partitions"),
+        pair(F.coalesce("state", F.lit("CLOSED")).alias("state")).alias("states"),
+        pair(F.coalesce("depth", F.lit(0)).cast("long").alias("depth")).alias("depths"),
+    )

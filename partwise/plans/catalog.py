@@ -545,3 +545,17 @@ def pipeline_stages(spark, sf_dir):
     late = F.when(F.col("duplicate"), "DEDUPLICATION").otherwise("REORDER")
     stage = F.when(F.col("event_id") % 97 == 3, "DESERIALIZE").when(F.col("disposition").isin("BELOW_ANCHOR", "AFTER_RELEASE"), late).when(F.col("disposition") == "REPLACED", "REORDER").otherwise("BUSINESS_LOGIC")
     return d.select("p", "off", scalars.correlation_id(F.lit("events")).alias("correlation_id"), stage.alias("stage"))
+
+
+@query(
+    ", l AS (SELECT p, arg_max(state, off) AS state FROM z GROUP BY p), g AS (SELECT p, arg_max(depth, off) AS depth FROM deep GROUP BY p) SELECT 'group' AS consumer_group, 'UNKNOWN' AS status, count(*) AS partitions, string_agg(CAST(g.p AS VARCHAR) || '=' || coalesce(state, 'CLOSED'), ',' ORDER BY g.p) AS states, string_agg(CAST(g.p AS VARCHAR) || '=' || CAST(depth AS VARCHAR), ',' ORDER BY g.p) AS depths FROM g LEFT JOIN l ON g.p = l.p",
+    VIEW,
+    ORDERED,
+    DEEP,
+    TRANSITIONS,
+)
+def group_health_status(spark, sf_dir):
+    last = _transitions(spark, sf_dir).groupBy("p").agg(F.max_by("state", "off").alias("state"))
+    row = metrics.health_status(last, sequence.depth(_view(spark, sf_dir)), "group")
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return row.select("consumer_group", "status", "partitions", flat("states"), flat("depths"))
