@@ -1,6 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Features are the distinct words of a text (lower-cased, hashed into BUCKETS), each scaled by the log-ratio of its rates in
+Features are the distinct words of a text and their beginnings of STEMS bytes (lower-cased, hashed into BUCKETS; stems stand
+for forms that no sample has), each scaled by the log-ratio of its rates in
 toxic and other sample texts; words in fewer than LEAST_DOCS sample texts are left out. Logistic weights are learned with
 a penalty besides the usual one: in each labelled text with identity terms, these are swapped for others, and for none, and
 PENALTY times the squared change of the score is added to the loss. So a neutral mention of a group does not move a score.
@@ -22,7 +23,7 @@ from . import kernels as K
 from .samples import folded, labelled
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
-BUCKETS, LEAST_DOCS = 1 << 18, 5
+BUCKETS, LEAST_DOCS, SUPPORT, STEMS = 1 << 20, 5, 10, (4,)
 EPOCHS, RATE, DECAY, PENALTY, SWAPS = 150, 0.1, 1e-3, 20.0, 3
 # Identity terms that are swapped for one another.
 IDENTITY = (
@@ -39,10 +40,14 @@ def word_sets(column):
     for i, j, data, offsets in K.chunks(column):
         data = lower[data]
         starts, ends = K.word_spans(data, wordy)
-        at = (K.word_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
         bounds = np.searchsorted(starts, offsets)
         doc = np.repeat(np.arange(j - i), np.diff(bounds))
-        keys = np.unique(doc * BUCKETS + at)
+        keys = []
+        for n in (0, *STEMS):
+            long = np.flatnonzero(ends - starts > n) if n else slice(None)
+            h = K.word_hashes(data, starts[long], starts[long] + n if n else ends)
+            keys.append(doc[long] * BUCKETS + (K.mix(h + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+        keys = np.unique(np.concatenate(keys))
         yield keys % BUCKETS, np.searchsorted(keys, np.arange(j - i + 1) * BUCKETS)
 
 
@@ -90,7 +95,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray
     toxic = np.bincount(sets, weights=y[doc], minlength=BUCKETS)
     ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((seen - toxic + 1) / (len(y) - y.sum() + 2))
     kept = seen >= LEAST_DOCS
-    scale = np.where(kept, ratio, 0.0)
+    scale = np.where(kept, ratio * seen / (seen + SUPPORT + 1e-9), 0.0)  # rare words count for less
     terms = np.unique(_sets([" ".join(IDENTITY)])[0])
     pairs, change, sign = _swapped(sets, bounds, terms)
     x = scale[sets]
