@@ -7,9 +7,10 @@ Two documents link when 100 * |A and B| >= PERCENT * |A or B| for their sets of
 2. A global order of tokens puts common ones last: those found often in some partition are counted everywhere and the
    ORDERED most common ones, a bounded table, are ranked; all others go by hash. Any fixed order is exact; this one keeps
    shared passages out of what is compared.
-3. Linked sets share one of their first n - ceil(0.8 n) + 1 tokens of the order (the prefix filter), so only these are
-   dealt out. Vertices that share one, with sizes that can link, are tied in chains by size; the chains' connected
-   components (candidate groups) hold every link.
+3. Linked sets share k of their first n - ceil(0.8 n) + k tokens of the order (the prefix filter, k being 1 + MORE percent
+   of the smaller set), so only these are dealt out. Of tokens that at most FEW vertices have, the pairs are counted; pairs
+   that cannot come to k, even if they shared all common tokens that either has, are no candidates. Vertices that have k or
+   more common tokens, and so may link by these alone, are tied by each of them in chains by size. The connected components of both (candidate groups) hold every link.
 4. A group of over BLOCK words is split by size, then by hash, into blocks of about BLOCK words, and each pair of blocks
    whose sizes can link is one task. In it, sets are leaves of signature trees: a node has the OR of its leaves' token bitmaps, its
    size range and its slack (the most tokens of a leaf that bits hide). Two trees are traversed together: a pair of nodes
@@ -37,7 +38,8 @@ from .components import components
 from .shared import beside, parallelism, written
 
 SHINGLE, PERCENT = 5, 80
-ORDERED, LOCAL_LEAST, HELD = 1 << 16, 3, 1 << 22
+MORE, FEW = 10, 8
+ORDERED, LOCAL_LEAST, COMMON, HELD = 1 << 17, 2, 6, 1 << 22
 BLOCK = 2_000_000
 FAN, BITS_PER_TOKEN, MOST_BITS = 16, 4, 1 << 16
 TOP = np.uint64(1 << 63)
@@ -61,8 +63,13 @@ def shingle_sets(column, n: int = SHINGLE):
                 yield np.zeros(0, np.uint64)
 
 
+def _needed(n):
+    """How many tokens of their prefixes sets must share, by the smaller set's size."""
+    return 1 + n * MORE // 100
+
+
 def _prefix(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1 if n else 0
+    return n - (PERCENT * n + 99) // 100 + _needed(n) if n else 0
 
 
 def common_tokens(documents: DataFrame) -> np.ndarray:
@@ -87,7 +94,7 @@ def common_tokens(documents: DataFrame) -> np.ndarray:
             yield flush()
 
     counted = documents.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= 8).orderBy(F.desc("n"), "token").limit(ORDERED).toPandas()
+    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(ORDERED).toPandas()
     return top["token"].to_numpy(dtype=np.int64)[::-1].copy().view(np.uint64)  # the rarest of them first
 
 
@@ -110,53 +117,135 @@ class Order:
         return key
 
 
-def fingerprints(documents: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set, and its prefix in the global order."""
-    order = Order(common)
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, and a 128-bit fingerprint of the set."""
 
     def each(batches):
         for b in batches:
-            n, one, two, prefix = [], [], [], []
-            for s in shingle_sets(b.column(1)):
-                n.append(len(s))
-                one.append(K.mix(s ^ K.GOLD).sum(dtype=np.uint64))
-                two.append(K.mix(s ^ K.C1).sum(dtype=np.uint64))
-                p = _prefix(len(s))
-                keys = order.keys(s)
-                prefix.append((np.partition(keys, p - 1)[:p] if 0 < p < len(keys) else keys).tobytes())
-            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(K.signed(np.array(one, np.uint64))), pa.array(K.signed(np.array(two, np.uint64))), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "one", "two", "prefix"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, one long, two long, prefix binary")
-
-
-def _dealt(batches, buckets: int):
-    """Prefix tokens with their vertices, packed by bucket of the token; tokens of a batch are sorted."""
+            rows = [(len(s), K.mix(s ^ K.GOLD).sum(dtype=np.uint64), K.mix(s ^ K.C1).sum(dtype=np.uint64)) for s in shingle_sets(b.column(1))]
+            n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(K.signed(np.array(x, np.uint64))) for x in (one, two))], ["doc_id", "n_shingles", "one", "two"])
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, one long, two long")
+
+
+def _prefixes(batches, order: Order, buckets: int):
+    """Prefix tokens with their documents and sizes, packed by bucket of the token."""
     for b in batches:
-        raw = [np.frombuffer(x, np.uint64) for x in b.column("prefix").to_pylist()]
-        if not raw:
+        tokens, size = [], []
+        for s in shingle_sets(b.column(1)):
+            p, keys = _prefix(len(s)), order.keys(s)
+            tokens.append(np.partition(keys, p - 1)[:p] if 0 < p < len(keys) else keys)
+            size.append(len(s))
+        if not tokens:
             continue
-        lens = np.array([len(x) for x in raw])
-        tokens = np.concatenate(raw)
-        vertex = np.repeat(b.column("vertex").to_numpy(), lens)
-        size = np.repeat(b.column("n_shingles").to_numpy(), lens)
+        many = np.array([len(x) for x in tokens])
+        tokens, vertex, size = np.concatenate(tokens), np.repeat(b.column(0).to_numpy(zero_copy_only=False), many), np.repeat(np.array(size), many)
         where = (K.mix(tokens.copy()) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(buckets + 1))
-        rows = [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k + 1] > edges[k]]
-        cols = [pa.array([k for k, _ in rows], pa.int64())] + [pa.array([x[i].astype(t).tobytes() for _, i in rows], pa.binary()) for x, t in ((tokens, np.uint64), (vertex, np.int64), (size, np.int64))]
+        at = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[at], np.arange(buckets + 1))
+        rows = [(k, at[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k + 1] > edges[k]]
+        cols = [pa.array([k for k, _ in rows], pa.int64())] + [pa.array([x[i].astype(t).tobytes() for _, i in rows], pa.binary()) for x, t in ((tokens, np.uint64), (vertex, np.int64), (size, np.int32))]
         yield pa.RecordBatch.from_arrays(cols, ["bucket", "tokens", "vertices", "sizes"])
 
 
+def _sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, need: np.ndarray):
+    """n summed by (x, y), which comes with its need."""
+    order = np.lexsort((y, x))
+    x, y, n, need = x[order], y[order], n[order], need[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    at = np.flatnonzero(new)
+    return x[at], y[at], np.add.reduceat(n, at) if len(at) else n, need[at]
+
+
+def _packed(rows: list, keys: np.ndarray, n: int, kind: int, columns: list[tuple[np.ndarray, type]]) -> None:
+    """Adds a row (key, kind, arrays) for each key below n that has entries."""
+    order = np.argsort(keys, kind="stable")
+    edge = np.searchsorted(keys[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(edge)).tolist():
+        at = order[edge[k] : edge[k + 1]]
+        rows.append((k, kind, *(c[at].astype(t).tobytes() for c, t in columns)))
+
+
+def _home(vertices: np.ndarray, homes: int) -> np.ndarray:
+    return (K.mix(vertices.astype(np.uint64) ^ K.GOLD) % np.uint64(homes)).astype(np.int64)
+
+
+PACKED = "home long, kind int, x binary, y binary, n binary, need binary"
+
+
+def _shared(table: pa.Table, homes: int) -> pa.Table:
+    """What sharing a token says. Of tokens that at most FEW vertices have: the pairs of vertices whose sizes can link, how
+    many they share and need, at the home of the one (kind 0) and of the other (kind 1). Of tokens that more have: vertex,
+    token and size, at the vertex's home (kind 2)."""
+    tokens, vertices, sizes = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("vertices", np.int64), ("sizes", np.int32)))
+    order = np.lexsort((vertices, sizes, tokens))
+    t, v, s = tokens[order], vertices[order], sizes[order].astype(np.int64)
+    begin = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+    group = np.repeat(np.diff(begin), np.diff(begin))
+    a, b, need = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(FEW, len(t))):
+        at = np.flatnonzero((t[d:] == t[:-d]) & (group[d:] <= FEW) & (v[d:] != v[:-d]) & (100 * s[:-d] >= PERCENT * s[d:]))
+        a.append(np.minimum(v[at], v[at + d]))
+        b.append(np.maximum(v[at], v[at + d]))
+        need.append(_needed(s[at]))
+    a, b, need = np.concatenate(a), np.concatenate(b), np.concatenate(need)
+    a, b, n, need = _sums(a, b, np.ones(len(a), np.int64), need)
+    many = np.flatnonzero(group > FEW)
+    rows: list = []
+    for kind, own in enumerate((a, b)):
+        _packed(rows, _home(own, homes), homes, kind, [(a, np.int64), (b, np.int64), (n, np.int32), (need, np.int32)])
+    _packed(rows, _home(v[many], homes), homes, 2, [(v[many], np.int64), (t[many].view(np.int64), np.int64), (s[many], np.int32), (s[many], np.int32)])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["home", "kind", "x", "y", "n", "need"])
+
+
+VOTES = "a long, b long, bucket long, tokens binary, vertices binary, sizes binary"
+
+
+def _votes(table: pa.Table, buckets: int) -> pa.Table:
+    """Each end's vote for a pair: that what they share, with all the common tokens of this end, may be enough. And the
+    common tokens of vertices that have enough of them to link by these alone, packed by bucket."""
+    kinds, parts = np.array(table.column("kind").to_pylist()), []
+    for kind in range(3):
+        own = table.filter(pa.array(kinds == kind))
+        parts.append([np.frombuffer(b"".join(own.column(c).to_pylist()), t).astype(np.int64) for c, t in (("x", np.int64), ("y", np.int64), ("n", np.int32), ("need", np.int32))])
+    v, t, s, _ = parts[2]
+    known, at, many = np.unique(v, return_inverse=True, return_counts=True)
+    out_a, out_b = [], []
+    for kind in (0, 1):
+        a, b, n, need = _sums(*parts[kind])
+        if len(known):
+            own = (a, b)[kind]
+            k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            n = n + np.where(known[k] == own, many[k], 0)
+        out_a.append(a[n >= need])
+        out_b.append(b[n >= need])
+    able = many[at] >= _needed((PERCENT * s + 99) // 100) if len(v) else np.zeros(0, dtype=bool)
+    rows: list = []
+    t = t[able].view(np.uint64)
+    where = (K.mix(t.copy()) % np.uint64(buckets)).astype(np.int64)
+    _packed(rows, where, buckets, 0, [(t, np.uint64), (v[able], np.int64), (s[able], np.int32)])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    blank = [None] * len(rows)
+    own = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    votes = [pa.array(a), pa.array(b), *[pa.nulls(len(a), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]]
+    packs = [pa.array(blank, pa.int64()), pa.array(blank, pa.int64()), pa.array(own[0], pa.int64()), *(pa.array(c, pa.binary()) for c in own[2:])]
+    names = ["a", "b", "bucket", "tokens", "vertices", "sizes"]
+    return pa.concat_tables([pa.table(votes, names=names), pa.table(packs, names=names)])
+
+
 def _chained(table: pa.Table) -> pa.Table:
-    """Ties vertices that share a token, in order of size where sizes can link; a forest of each bucket."""
-    tokens, vertices, sizes = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("vertices", np.int64), ("sizes", np.int64)))
+    """Ties between neighbours, in order of size, of the vertices that have a common token."""
+    tokens, vertices, sizes = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("vertices", np.int64), ("sizes", np.int32)))
     order = np.lexsort((vertices, sizes, tokens))
-    t, v, s = tokens[order], vertices[order], sizes[order]
-    tie = (t[1:] == t[:-1]) & (v[1:] != v[:-1]) & (100 * s[:-1] >= PERCENT * s[1:])
-    a, b = v[:-1][tie], v[1:][tie]
-    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+    t, v, s = tokens[order], vertices[order], sizes[order].astype(np.int64)
+    tie = np.flatnonzero((t[1:] == t[:-1]) & (v[1:] != v[:-1]) & (100 * s[:-1] >= PERCENT * s[1:]))
+    one = np.ones(len(tie), np.int64)
+    a, b, _, _ = _sums(np.minimum(v[tie], v[tie + 1]), np.maximum(v[tie], v[tie + 1]), one, one)
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
 class Forest:
@@ -298,23 +387,37 @@ def _uses(blocked: DataFrame) -> DataFrame:
 def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     spark = documents.sparkSession
-    prints = written(fingerprints(documents, common_tokens(documents)), "jaccard")
-    # One vertex for each distinct set: its least id.
-    distinct = prints.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    vertices = written(distinct.where("vertex is not null"), "jaccard")
-    dealt = vertices.select("vertex", "n_shingles", "prefix")
-    n_tokens = dealt.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
-    buckets = int(max(parallelism(spark), n_tokens // 1_000_000))
-    ties = dealt.mapInArrow(lambda b: _dealt(b, buckets), "bucket long, tokens binary, vertices binary, sizes binary").groupBy("bucket").applyInArrow(_chained, "a long, b long")
+    ids = documents.select(F.col("doc_id").cast("long").alias("vertex"), "text")
+    prints = written(fingerprints(documents), "jaccard")
+    # One vertex for each distinct set: its least id. The others are left out before anything is dealt.
+    vertices = prints.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"))
+    vertices = written(vertices.where("vertex is not null"), "jaccard")
+    copies = prints.join(vertices.select("one", "two", "vertex"), ["one", "two"]).where("doc_id != vertex").select(F.col("doc_id").alias("vertex")).distinct()
+    copies = written(copies.join(vertices.select("vertex"), "vertex", "left_anti"), "jaccard")
+    original = ids.where("vertex is not null").join(beside(copies), "vertex", "left_anti")
+    n_tokens = vertices.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - PERCENT + MORE) // 100
+    buckets, order = int(max(parallelism(spark), n_tokens // 1_000_000)), Order(common_tokens(original))
+    dealt = original.mapInArrow(lambda b: _prefixes(b, order, buckets), "bucket long, tokens binary, vertices binary, sizes binary")
+
+    def shared(t: pa.Table) -> pa.Table:
+        return _shared(t, buckets)
+
+    def votes(t: pa.Table) -> pa.Table:
+        return _votes(t, buckets)
+
+    packed = dealt.groupBy("bucket").applyInArrow(shared, PACKED)
+    voted = written(packed.groupBy("home").applyInArrow(votes, VOTES), "jaccard")
+    pairs = voted.where("bucket is null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
+    ties = pairs.unionByName(voted.where("bucket is not null").drop("a", "b").groupBy("bucket").applyInArrow(_chained, "a long, b long"))
     groups = components(written(ties, "jaccard")).withColumnsRenamed({"node": "vertex", "component": "grp"})
     sized = written(groups.join(vertices.select("vertex", "n_shingles"), "vertex"), "jaccard")
     blocked = written(_blocks(sized, block), "jaccard")
-    texts = documents.select(F.col("doc_id").cast("long").alias("vertex"), "text").join(blocked.hint("shuffle_hash"), "vertex")
-    tasks = texts.join(_uses(blocked), ["grp", "cls", "part"]).select("grp", "first", "second", "side", "vertex", "text")
+    texts = ids.join(beside(blocked), "vertex")
+    tasks = texts.join(beside(_uses(blocked)), ["grp", "cls", "part"]).select("grp", "first", "second", "side", "vertex", "text")
     found = written(tasks.groupBy("grp", "first", "second").applyInArrow(_compared, "a long, b long"), "jaccard")
     merged = components(found)
     by_set = vertices.select("one", "two", "vertex").join(merged, F.col("vertex") == F.col("node"), "left").select("one", "two", F.coalesce("component", "vertex").alias("component_id"))
-    rows = prints.drop("prefix").join(by_set, ["one", "two"], "left")
+    rows = prints.join(by_set, ["one", "two"], "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
