@@ -18,8 +18,8 @@ Two documents link when 100 * |A and B| >= PERCENT * |A or B| for their sets of
    its leaves are in one component already. Leaf pairs left over are compared exactly.
 5. The links kept are a forest (at most one per vertex and block pair); their components are the result.
 
-Nothing grows with the square of a group: exact copies are folded, linked leaves are skipped, and a chain has one edge per
-member. A giant group is spread over block pairs.
+Exact copies are folded, linked leaves are skipped, and a chain has one edge per member, so a group of near copies costs about
+its size within a block. A group of many blocks costs their pairs.
 
 Defined cases: null or empty text and texts of blanks: no shingles, component of its own. Fewer than SHINGLE words: the
 whole sequence is the one shingle. Repeated rows and equal ids each get a row; rows of one id are one vertex. A row without an
