@@ -157,7 +157,8 @@ def blocks(html: str):
         yield found
 
 
-# ---- wrappers: nodes are [kind, value, length]; kind "t" tag, "#" text (value: hash, or None for a slot), "?" and "+" groups
+# ---- wrappers: nodes are [kind, value, length, pages]; kind "t" tag, "#" text (value: hash, or None for a slot), "?" and "+"
+# groups; pages (of a text that has a value): the least LEAST_PAGES keys of unlike pages that had it there with that value
 
 
 def _hash(text: str) -> str:
@@ -173,7 +174,7 @@ def stream(found) -> list:
             k += 1
         k = min(k, max(len(path) - 1, 0))  # a block of the same kind is entered anew
         out += [["t", f"/{s}", 0] for s in reversed(last[k:])] + [["t", s, 0] for s in path[k:]]
-        out.append(["#", _hash(text), len(text)])
+        out.append(["#", _hash(text), len(text), []])
         last = path
     return out + [["t", f"/{s}", 0] for s in reversed(last)]
 
@@ -185,7 +186,18 @@ def _key(node: list):
 def _joined(a: list, b: list) -> list:
     if a[0] in "?+":
         return [a[0], [_joined(x, y) for x, y in zip(a[1], b[1], strict=True)], 0]
-    return [a[0], a[1] if a[1] == b[1] else None, a[2] + b[2]]
+    if a[0] == "t":
+        return a
+    same = a[1] is not None and a[1] == b[1]
+    return ["#", a[1] if same else None, a[2] + b[2], sorted({*a[3], *b[3]})[:LEAST_PAGES] if same else []]
+
+
+def marked(nodes: list, page: str) -> list:
+    """The nodes of one page, with its key in each text that has a value."""
+    return [
+        [n[0], marked(n[1], page), 0] if n[0] in "?+" else [*n[:3], [page]] if n[0] == "#" and n[1] is not None else n
+        for n in nodes
+    ]
 
 
 def squash(nodes: list, longest: int = 8) -> list:
@@ -240,8 +252,8 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", "", url or "").split("/")[0].split("?")[0].split("#")[0].lower()
 
 
-def findings(wrapper: list, pages: int) -> tuple[str, list[str]]:
-    """The container with most slot text, and the texts that never changed."""
+def findings(wrapper: list) -> tuple[str, list[str]]:
+    """The container with most slot text, and the texts that never changed in LEAST_PAGES unlike pages or more."""
     size: dict[str, int] = {}
     same: list[str] = []
 
@@ -253,7 +265,7 @@ def findings(wrapper: list, pages: int) -> tuple[str, list[str]]:
                 if n[1] is None:
                     for s in path[-3:-1] or path[-1:]:
                         size[s] = size.get(s, 0) + n[2]
-                elif pages >= LEAST_PAGES:
+                elif len(n[3]) >= LEAST_PAGES:
                     same.append(n[1])
             elif n[1].startswith("/"):
                 if n[1][1:] in path:
@@ -279,34 +291,32 @@ def _infer(batches):
                 known, seen = wrappers.get(host_of(url), (None, set()))
                 if key not in seen:
                     seen.add(key)
+                    tokens = marked(tokens, key)
                     wrappers[host_of(url)] = (tokens if known is None else align(known, tokens), seen)
-        yield pa.RecordBatch.from_pylist([{"host": h, "salt": int(min(s), 16) % SALTS, "wrapper": json.dumps(w), "keys": sorted(s)[:LEAST_PAGES]} for h, (w, s) in wrappers.items()], schema=pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string()), ("keys", pa.list_(pa.string()))]))
+        yield pa.RecordBatch.from_pylist([{"host": h, "salt": int(min(s), 16) % SALTS, "wrapper": json.dumps(w)} for h, (w, s) in wrappers.items()], schema=pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
 
 
-def _met(table: pa.Table) -> tuple[list, list[str]]:
-    known, keys = None, set()
-    for w, k in sorted(zip(table.column("wrapper").to_pylist(), table.column("keys").to_pylist(), strict=True)):
+def _met(table: pa.Table) -> list:
+    known = None
+    for w in sorted(table.column("wrapper").to_pylist()):
         w = json.loads(w)
         known = w if known is None else align(known, w)
-        keys = set(sorted(keys | set(k))[:LEAST_PAGES])
-    return known, sorted(keys)
+    return known
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    known, keys = _met(table)
-    return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(known)]), "keys": pa.array([keys], pa.list_(pa.string()))})
+    return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(_met(table))])})
 
 
 def _found(table: pa.Table) -> pa.Table:
-    known, keys = _met(table)
-    best, same = findings(known, len(keys))
+    best, same = findings(_met(table))
     return pa.table({"host": table.column("host")[:1], "main": pa.array([best]), "template": pa.array([same], pa.list_(pa.string()))})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, main (signature of the main container), template (hashes of unchanging texts)."""
-    partial = pages.select("url", "html").mapInArrow(_infer, "host string, salt long, wrapper string, keys array<string>")
-    salted = partial.groupBy("host", "salt").applyInArrow(_merge, "host string, wrapper string, keys array<string>")
+    partial = pages.select("url", "html").mapInArrow(_infer, "host string, salt long, wrapper string")
+    salted = partial.groupBy("host", "salt").applyInArrow(_merge, "host string, wrapper string")
     return salted.groupBy("host").applyInArrow(_found, "host string, main string, template array<string>")
 
 

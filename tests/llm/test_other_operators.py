@@ -165,6 +165,17 @@ def test_alignment_makes_groups_and_slots():
     assert H.align(wrapper, a) and [H._key(n) for n in H.align(wrapper, b)] == [H._key(n) for n in wrapper]
 
 
+def test_text_of_one_page_is_no_template(rows):
+    page = lambda k, x="": f"<body><div class=content><h2>T{k}</h2><p>A{k}</p>{x}</div><div class=box>Same</div></body>"
+    values = [(k, f"http://one.example/{k}", page(k, "<blockquote>Q3</blockquote>" if k == 3 else "")) for k in range(8)]
+    for parts in (1, 3):
+        got = {r["page_id"]: r["text"] for r in H.extract(rows("page_id long, url string, html string", values, parts)).collect()}
+        assert got[3] == "T3\nA3\nQ3" and got[0] == "T0\nA0"
+    # Same page in several batches: still one page.
+    nodes = H.marked(H.squash(H.stream(H.blocks(page(1)))), "k1")
+    assert H.findings(H.align(H.align(nodes, nodes), nodes))[1] == []
+
+
 # ---- classifiers
 
 
