@@ -6,12 +6,12 @@
    becomes a slot, and what only one of them has becomes an optional group (...)?. The result, a wrapper, is a stream
    itself, so wrappers of parts of a host (a batch of pages) are aligned the same way, in two rounds with salted hosts: no
    task gathers a host's pages, only one wrapper for each batch that has the host.
-3. A wrapper tells, for a host with pages without <article> or <main>: the container of most of its slots' text (main
-   content), and the texts that stayed the same in LEAST_PAGES unlike pages or more (template text).
+3. A host has two wrappers: of its pages without <article> or <main>, and of what is inside these tags on the others. The
+   first tells the container of most of its slots' text (main content); both tell the texts that stayed the same in
+   LEAST_PAGES unlike pages or more (template text), each for its own pages.
 4. Pages are read again, with their host's findings beside them, and the main text is written out: of <article> or <main>,
    else of the host's main container, else of the body; always without menus, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles and reader comments, which are known by tag, role, class or id, and, where the host's wrapper is
-   used, without template text.
+   forms, scripts, styles and reader comments, which are known by tag, role, class or id, and without template text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are
 left out, and the rest is joined by "\\n" in page order. <br> is white space.
@@ -279,21 +279,22 @@ def findings(wrapper: list) -> tuple[str, list[str]]:
 
 
 def _infer(batches):
-    """One wrapper for each batch and host with pages without a main element."""
+    """Wrappers for each batch and host: of the pages without a main element, and of the main elements of the others."""
     for b in batches:
-        wrappers: dict[str, tuple[list, set]] = {}
+        wrappers: dict[tuple[str, bool], tuple[list, set]] = {}
         for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if html and not re.search("<(?:article|main)[\\s>]", html, re.I):
-                tokens = squash(stream(blocks(html)))
-                if not tokens:
-                    continue
-                key = _hash(json.dumps(tokens))
-                known, seen = wrappers.get(host_of(url), (None, set()))
-                if key not in seen:
-                    seen.add(key)
-                    tokens = marked(tokens, key)
-                    wrappers[host_of(url)] = (tokens if known is None else align(known, tokens), seen)
-        yield pa.RecordBatch.from_pylist([{"host": h, "salt": int(min(s), 16) % SALTS, "wrapper": json.dumps(w)} for h, (w, s) in wrappers.items()], schema=pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
+            found = list(blocks(html or ""))
+            if not found:
+                continue
+            main = [x for x in found if x[1]]
+            tokens = squash(stream(main or found))
+            key, at = _hash(json.dumps(tokens)), (host_of(url), bool(main))
+            known, seen = wrappers.get(at, (None, set()))
+            if key not in seen:
+                seen.add(key)
+                tokens = marked(tokens, key)
+                wrappers[at] = (tokens if known is None else align(known, tokens), seen)
+        yield pa.RecordBatch.from_pylist([{"host": h, "inside": i, "salt": int(min(s), 16) % SALTS, "wrapper": json.dumps(w)} for (h, i), (w, s) in wrappers.items()], schema=pa.schema([("host", pa.string()), ("inside", pa.bool_()), ("salt", pa.int64()), ("wrapper", pa.string())]))
 
 
 def _met(table: pa.Table) -> list:
@@ -305,36 +306,37 @@ def _met(table: pa.Table) -> list:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(_met(table))])})
+    return pa.table({"host": table.column("host")[:1], "inside": table.column("inside")[:1], "wrapper": pa.array([json.dumps(_met(table))])})
 
 
 def _found(table: pa.Table) -> pa.Table:
     best, same = findings(_met(table))
-    return pa.table({"host": table.column("host")[:1], "main": pa.array([best]), "template": pa.array([same], pa.list_(pa.string()))})
+    return pa.table({"host": table.column("host")[:1], "inside": table.column("inside")[:1], "main": pa.array([best]), "template": pa.array([same], pa.list_(pa.string()))})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, main (signature of the main container), template (hashes of unchanging texts)."""
-    partial = pages.select("url", "html").mapInArrow(_infer, "host string, salt long, wrapper string")
-    salted = partial.groupBy("host", "salt").applyInArrow(_merge, "host string, wrapper string")
-    return salted.groupBy("host").applyInArrow(_found, "host string, main string, template array<string>")
+    """host, main (signature of the main container), template and inside (hashes of unchanging texts of pages without a main
+    element, and of main elements)."""
+    partial = pages.select("url", "html").mapInArrow(_infer, "host string, inside boolean, salt long, wrapper string")
+    salted = partial.groupBy("host", "inside", "salt").applyInArrow(_merge, "host string, inside boolean, wrapper string")
+    found = salted.groupBy("host", "inside").applyInArrow(_found, "host string, inside boolean, main string, template array<string>")
+    of = lambda c, kind: F.first(F.when(kind, F.col(c)), ignorenulls=True)
+    inside = F.col("inside")
+    return found.groupBy("host").agg(of("main", ~inside).alias("main"), of("template", ~inside).alias("template"), of("template", inside).alias("inside"))
 
 
-def main_text(html: str | None, container: str | None = None, template=()) -> str:
+def main_text(html: str | None, container: str | None = None, template=(), inside=()) -> str:
     found = list(blocks(html or ""))
-    if any(m for _, m, _ in found):
-        kept = [t for t, m, _ in found if m]
-    else:
-        inside = [x for x in found if container and container in x[2]] or found
-        drop = set(template or ())
-        kept = [t for t, _, _ in inside if not drop or _hash(t) not in drop]
-    return "\n".join(kept)
+    main = [x for x in found if x[1]]
+    kept = main or [x for x in found if container and container in x[2]] or found
+    drop = set((inside if main else template) or ())
+    return "\n".join(t for t, _, _ in kept if not drop or _hash(t) not in drop)
 
 
 def _extract(batches):
     for b in batches:
         rows = b.to_pydict()
-        text = [main_text(h, m, t) for h, m, t in zip(rows["html"], rows["main"], rows["template"], strict=True)]
+        text = [main_text(*x) for x in zip(rows["html"], rows["main"], rows["template"], rows["inside"], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -345,6 +347,6 @@ def extract(pages: DataFrame) -> DataFrame:
     if facts.count() <= SMALL:
         facts = F.broadcast(facts)
     host = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "(?s)[/?#].*", ""))
-    joined = slim.withColumn("host", host).join(facts, "host", "left").select("page_id", "url", "html", "main", "template")
+    joined = slim.withColumn("host", host).join(facts, "host", "left").select("page_id", "url", "html", "main", "template", "inside")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

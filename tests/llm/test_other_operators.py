@@ -176,6 +176,15 @@ def test_text_of_one_page_is_no_template(rows):
     assert H.findings(H.align(H.align(nodes, nodes), nodes))[1] == []
 
 
+def test_template_text_of_articles_is_left_out(rows):
+    page = lambda k: f"<body><p>Plain {k}</p><article><h1>T{k}</h1><p>A{k}</p><div class=box>Same</div></article></body>"
+    values = [(k, f"http://one.example/{k}", page(k)) for k in range(6)]
+    values += [(10, "http://two.example/", page(10)), (11, "http://two.example/b", page(11)), (12, "http://one.example/c", "<body><p>Same</p></body>")]
+    got = {r["page_id"]: r["text"] for r in H.extract(rows("page_id long, url string, html string", values)).collect()}
+    assert all(got[k] == f"T{k}\nA{k}" for k in range(6))
+    assert got[10] == "T10\nA10\nSame" and got[11] == "T11\nA11\nSame" and got[12] == "Same"
+
+
 # ---- classifiers
 
 
