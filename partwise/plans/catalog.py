@@ -464,6 +464,13 @@ def route_retries(spark, sf_dir):
     return dead_letters.retry_due(entries, 60_000).select("off", "attempts", "due", "alert")
 
 
+@query("SELECT p, off, attempts, off * 100 + least(1000 * (2 ** attempts), 60000) <= 60000 AS due, attempts + 1 > 10 AS alert FROM (SELECT p, off, off % 12 AS attempts FROM h WHERE NOT ok)", VIEW, HANDLED)
+def route_retries_all_partitions(spark, sf_dir):
+    """The retry pass over the dead letters of every partition; route_retries and its SQL judge partition 0 only."""
+    entries = _handled(spark, sf_dir).where("not ok").select("p", "off", (F.col("off") % 12).alias("attempts"), (F.col("off") * 100).alias("last_attempt"))
+    return dead_letters.retry_due(entries, 60_000).select("p", "off", "attempts", "due", "alert")
+
+
 # ---- offsets and metrics
 
 

@@ -37,3 +37,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 6
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_retries_judge_every_dead_letter(spark, data):
+    judged = {(r["p"], r["off"]) for r in catalog.QUERIES["route_retries_all_partitions"](spark, data).collect()}
+    letters = {(r["p"], r["off"]) for r in catalog.QUERIES["dead_letter_headers"](spark, data).collect()}
+    assert judged == letters and len({p for p, _ in judged}) == 6
