@@ -16,8 +16,12 @@
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are
 left out, and the rest is joined by "\\n" in page order. <br> is white space.
 
-Findings are joined by broadcast where they have at most SMALL rows (each is bounded by the wrapper), else by a shuffle in
-which Spark may split hot hosts.
+No page and no part of a wrapper is dropped, however long: streams of over LONG nodes are aligned by a longest common
+subsequence, whose time grows by bit-parallel rows and whose memory is bounded. A wrapper grows with the unlike parts its
+host's pages have, so a host whose pages have nothing in common makes one as large as they are.
+
+Findings are joined by broadcast where they have at most SMALL rows and ten times as many texts, else by a shuffle in which
+Spark may split hot hosts.
 
 Defined cases: null or empty html: empty text, n_chars 0. Null url: host "" . Cut-off tags and pages end where the html
 ends. Repeated rows each get a row; other columns are ignored.
@@ -30,6 +34,7 @@ import json
 import re
 from difflib import SequenceMatcher
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-LEAST_PAGES, MOST_NODES, SALTS, SMALL = 3, 4000, 32, 20_000
+LEAST_PAGES, LONG, SALTS, SMALL, BITS = 3, 1000, 32, 20_000, 1 << 28
 # HTML element names by how they are read.
 RAW = frozenset("script style noscript template iframe svg math canvas object textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,6 +230,61 @@ def squash(nodes: list, longest: int = 8) -> list:
     return nodes
 
 
+def _common(a: list, b: list, bits: int = BITS) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: bit-parallel rows, halved (Hirschberg) where they take more than bits bits."""
+    start, end, m = 0, len(a), len(b)
+    while start < min(end, m) and a[start] == b[start]:
+        start += 1
+    while end > start and m > start and a[end - 1] == b[m - 1]:
+        end, m = end - 1, m - 1
+    tail = [(end + k, m + k) for k in range(len(a) - end)]
+    head = [(k, k) for k in range(start)]
+    a, b = a[start:end], b[start:m]
+    if not a or not b:
+        return head + tail
+
+    def rows(x, y):
+        places: dict = {}
+        for k, v in enumerate(y):
+            places[v] = places.get(v, 0) | 1 << k
+        full = row = (1 << len(y)) - 1
+        for v in x:
+            hit = row & places.get(v, 0)
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    if len(a) > 1 and len(a) * len(b) > bits:
+        half = len(a) // 2
+
+        def lengths(x, y):  # of the common subsequence with each beginning of y
+            *_, row = rows(x, y)
+            return [0, *accumulate(c == "0" for c in reversed(f"{row:0{len(y)}b}"))]
+
+        before, after = lengths(a[:half], b), lengths(a[:half - 1 : -1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda k: before[k] + after[k])
+        found = _common(a[:half], b[:cut], bits) + [(half + i, cut + k) for i, k in _common(a[half:], b[cut:], bits)]
+    else:
+        kept = [(1 << len(b)) - 1, *rows(a, b)]
+        found, i, k = [], len(a), len(b)
+        while i and k:
+            if kept[i] >> k - 1 & 1:
+                k -= 1
+            elif not kept[i - 1] >> k - 1 & 1:
+                i -= 1
+            else:
+                i, k = i - 1, k - 1
+                found.append((i, k))
+        found.reverse()
+    return head + [(start + i, start + k) for i, k in found] + tail
+
+
+def _pairs(a: list, b: list) -> list[tuple[int, int]]:
+    if max(len(a), len(b)) > LONG:
+        numbers: dict = {}
+        return _common(*([numbers.setdefault(v, len(numbers)) for v in x] for x in (a, b)))
+    return [(i + d, k + d) for i, k, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for d in range(n)]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two streams or wrappers."""
     bare = lambda nodes: [x for n in nodes for x in ([(y, True) for y in n[1]] if n[0] == "?" else [(n, False)])]
@@ -237,15 +297,14 @@ def align(a: list, b: list) -> list:
         else:
             out.append(["?", [node], 0] if optional else node)
 
-    match = SequenceMatcher(None, [_key(n) for n, _ in x], [_key(n) for n, _ in y], autojunk=False)
-    for how, i, j, k, m in match.get_opcodes():
-        if how == "equal":
-            for (p, o), (q, r) in zip(x[i:j], y[k:m], strict=True):
-                put(_joined(p, q), o or r)
-        else:
-            for n, _ in x[i:j] + y[k:m]:
-                put(n, True)
-    return squash(out) if len(out) <= MOST_NODES else a
+    i = k = 0
+    for p, q in [*_pairs([_key(n) for n, _ in x], [_key(n) for n, _ in y]), (len(x), len(y))]:
+        for n, _ in x[i:p] + y[k:q]:
+            put(n, True)
+        if p < len(x):
+            put(_joined(x[p][0], y[q][0]), x[p][1] or y[q][1])
+        i, k = p + 1, q + 1
+    return squash(out)
 
 
 def host_of(url: str | None) -> str:
@@ -275,7 +334,7 @@ def findings(wrapper: list) -> tuple[str, list[str]]:
 
     walk(wrapper, [])
     best = max(size, key=lambda s: (size[s], s), default="")
-    return best, same[:MOST_NODES]
+    return best, list(dict.fromkeys(same))
 
 
 def _infer(batches):
@@ -344,7 +403,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     slim = pages.select("page_id", "url", "html")
     facts = written(wrappers(slim), "html")
-    if facts.count() <= SMALL:
+    hosts, texts = facts.agg(F.count("*"), F.sum(F.coalesce(F.size("template"), F.lit(0)) + F.coalesce(F.size("inside"), F.lit(0)))).first()
+    if hosts <= SMALL and (texts or 0) <= 10 * SMALL:
         facts = F.broadcast(facts)
     host = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), "(?s)[/?#].*", ""))
     joined = slim.withColumn("host", host).join(facts, "host", "left").select("page_id", "url", "html", "main", "template", "inside")

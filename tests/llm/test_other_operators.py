@@ -185,6 +185,31 @@ def test_template_text_of_articles_is_left_out(rows):
     assert got[10] == "T10\nA10\nSame" and got[11] == "T11\nA11\nSame" and got[12] == "Same"
 
 
+def test_common_subsequence_is_longest():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for k, y in enumerate(b):
+                best[i + 1][k + 1] = best[i][k] + 1 if x == y else max(best[i][k + 1], best[i + 1][k])
+        for bits in (1, 60, 10_000):
+            got = H._common(a, b, bits)
+            assert len(got) == best[-1][-1] and all(a[i] == b[k] for i, k in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_long_pages_are_aligned_whole():
+    name = lambda n: "".join(chr(97 + n // 26**d % 26) for d in range(3))
+    pages = [f"<body><h1>T{k}</h1>" + "".join(f"<div class={name(n)}><p>C{n}</p></div>" for n in range(4100)) + f"<div class=last><p>L{k}</p></div></body>" for k in range(3)]
+    wrapper = None
+    for k, p in enumerate(pages):
+        nodes = H.marked(H.squash(H.stream(H.blocks(p))), f"k{k}")
+        wrapper = nodes if wrapper is None else H.align(wrapper, nodes)
+    container, template = H.findings(wrapper)
+    assert container == "body" and template == [H._hash(f"C{n}") for n in range(4100)]
+
+
 # ---- classifiers
 
 
