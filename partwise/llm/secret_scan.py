@@ -1,8 +1,8 @@
 """Secret scans with DataFrame functions only: fixed patterns and a battery of randomness tests.
 
 Spans are (kind, start, end) in code points, end exclusive. Kinds of fixed patterns, each leftmost and non-overlapping:
-assign, access, hex. A span of kind random is a run of MIN_LENGTH or more of the characters [A-Za-z0-9+/_-] that overlaps
-no span of a fixed kind and passes the battery:
+assign, access, hex. A span of kind random is a run of MIN_LENGTH or more of the characters [A-Za-z0-9+/_-], or what spans
+of fixed kinds leave of one if that is as long, that passes the battery:
 
 1. The encoding is inferred from the characters: hexl (0-9a-f), hexu (0-9A-F), base32 (A-Z2-7), alnum36 (0-9a-z), base62,
    or base64. A run must have characters of two classes at least (upper, lower, digit), a digit among them: words of prose,
@@ -131,8 +131,17 @@ def _random(text: Column, base: Column) -> Column:
     """The spans of kind random among text, apart from the base spans."""
     empty = F.array().cast(SPAN)
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    runs = F.filter(_spans(text, RANDOM, 3), lambda s: mixed(s["value"]) & free(s))
+
+    def pieces(s: Column) -> Column:
+        """What the base spans leave of a run, in pieces of MIN_LENGTH or more."""
+        cuts = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        gap = lambda start, end: F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"), F.substring(s["value"], start - s["start"] + 1, end - start).alias("value")))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], gap(acc["at"], b["start"])).alias("out"))
+        begin = F.struct(s["start"].alias("at"), empty.alias("out"))
+        left = F.aggregate(cuts, begin, step, lambda acc: F.concat(acc["out"], gap(acc["at"], s["end"])))
+        return F.filter(left, lambda x: (x["end"] - x["start"] >= MIN_LENGTH) & mixed(x["value"]))
+
+    runs = F.flatten(F.transform(F.filter(_spans(text, RANDOM, 3), lambda s: mixed(s["value"])), pieces))
 
     def judged(found: Column) -> Column:
         tested = F.transform(found, lambda s: F.struct(s.alias("s"), _battery(s["value"]).alias("t")))
