@@ -7,8 +7,8 @@ weighs the passages, and the weighted sum is scored:
     h = tanh(x W + c),  a = softmax over passages of w . (tanh(h V) * sigmoid(h U)),  score = sigmoid(z . sum(a h) + b)
 
 It is trained on the driver from a bounded sample of labelled rows (samples.ROWS_PER_LABEL a label, SAMPLE_BYTES in all)
-outside the held-out fold, weighted so that both labels count alike and then shifted back to the labels' rates in the
-sample's source; every whole text of the documents is scored, one pass without shuffle.
+outside the held-out fold, weighted so that both labels count alike and then shifted back to the labels' rates among all
+labelled rows outside that fold; every whole text of the documents is scored, one pass without shuffle.
 
 Defined cases: null or empty text: one passage without words. Repeated rows each get a row. No labelled rows, or of one
 label only: a constant score (0.5, or near that label). Labels, lang, source and doc_id are no inputs of a score.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .samples import folded, labelled
+from .samples import folded, label_counts, labelled
 
 FOLDS, HELD_OUT, CUT = 3, 1, 0.5
 PASSAGE, BAG, HIDDEN = 64, 512, 16
@@ -88,7 +88,8 @@ def _gradients(m: dict, bags: np.ndarray, first: np.ndarray, y: np.ndarray, weig
     return {k: v + DECAY * m[k] for k, v in out.items()}
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
+def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, counts: tuple[int, int] = (1, 1)) -> dict:
+    """The model of (text, label) rows; counts: how many rows have label 0 and 1 where the scores are to hold."""
     rng = np.random.default_rng(7)
     m = {k: rng.normal(0, s, n).astype(np.float32) for k, s, n in (("W", 0.3, (BAG, HIDDEN)), ("V", 0.3, (HIDDEN, HIDDEN)), ("U", 0.3, (HIDDEN, HIDDEN)), ("w", 0.3, HIDDEN), ("z", 0.3, HIDDEN))}
     m |= {"c": np.zeros(HIDDEN, np.float32), "b": 0.0}
@@ -108,6 +109,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> dict:
             mean[k] = 0.9 * mean[k] + 0.1 * g
             var[k] = 0.99 * var[k] + 0.01 * g * g
             m[k] = m[k] - RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-8)
+    m["shift"] = np.log(max(counts[1], 1) / max(counts[0], 1))
     return {k: np.asarray(v, dtype=np.float32) for k, v in m.items()}
 
 
@@ -118,7 +120,7 @@ def score(column, model: dict) -> np.ndarray:
 
 def classify_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    model = train(labelled(documents, labels, "quality", FOLDS, HELD_OUT))
+    model = train(labelled(documents, labels, "quality", FOLDS, HELD_OUT), counts=label_counts(labels, "quality", FOLDS, HELD_OUT))
 
     def each(batches):
         for b in batches:

@@ -272,3 +272,12 @@ def test_score_of_no_passages_and_very_long_text():
     model = C.train([("a b c", 1), ("$$$ $$$ ###", 0)] * 20, epochs=20)
     p = C.score(pa.array([None, "", "a b c " * 100_000]), model)
     assert len(p) == 3 and np.isfinite(p).all()
+
+
+def test_scores_are_shifted_to_the_labels_rates(docs, rows):
+    # One text for both labels: the score can only be the rate of label 1 outside the held-out fold.
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % C.FOLDS != C.HELD_OUT]
+    labels = [(i, int(k % 10 > 0), 0) for k, i in enumerate(ids)]
+    rate = sum(y for _, y, _ in labels) / len(labels)
+    got = C.classify_quality(docs([(i, "a b c") for i in ids]), rows("doc_id long, quality int, toxic int", labels)).collect()
+    assert all(abs(r["score"] - rate) < 0.02 and r["predicted"] == 1 for r in got)
