@@ -7,12 +7,14 @@ between its documents. The law is `bytes`.
 2. A size-weighted sample of keys is drawn: a record is drawn if its own hash is below SAMPLE * ranges * size / total, so
    the sample is the same in every run and holds about SAMPLE keys a range, however many rows there are.
 3. Quantiles of the sample are the splitters of the ranges, as many as there are shuffle partitions (or shards, if more).
-   Ranges of over OVERFULL times their share are subdivided by splitters from a second, denser sample of their own
-   records, as often as needed.
+   They stand between groups of equal texts. Ranges of over OVERFULL times their share are subdivided by splitters from
+   a denser sample of their own records, twice as dense each time, and these may cut a group; a range that no sample
+   of the most density cuts fails loudly.
 4. Records are dealt by range; within a range their running bytes, with the ranges' totals before them, give each
    record's place in the whole order, and that place its shard. What meets at the driver are samples and one total a range.
+   Equal texts of up to WHOLE of a shard's bytes in their range share the place of their middle, so they are in one shard.
 
-Shards differ by at most a record's size. Defined cases: null text has no bytes (size EXTRA, crc32 0); a null doc_id sorts
+Shards differ by at most a record's size and twice WHOLE of a shard. Defined cases: null text has no bytes (size EXTRA, crc32 0); a null doc_id sorts
 first among equal texts; repeated rows are records of their own; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, EXTRA, SAMPLE, OVERFULL = 40, 16, 32, 2.0
+WHOLE = 0.01  # of a shard: equal texts of up to so many bytes are not cut
 FLOOR = -(1 << 63)
 
 
@@ -50,7 +53,7 @@ def _ranged(records: DataFrame, splitters: np.ndarray) -> DataFrame:
 def _sample(records: DataFrame, rate: float) -> np.ndarray:
     """Keys drawn with a chance of rate a byte."""
     chance = F.pmod(F.xxhash64("key", "place", F.lit(7)), F.lit(1 << 53)) / float(1 << 53)
-    drawn = records.where(chance < F.col("size") * F.lit(rate)).select("key", "place").toPandas()
+    drawn = records.where(chance < F.col("size") * F.lit(rate)).select("key", "place").distinct().toPandas()
     out = drawn.to_numpy(dtype=np.int64).reshape(-1, 2)
     return np.unique(out, axis=0)
 
@@ -60,23 +63,24 @@ def _quantiles(sample: np.ndarray, n: int) -> np.ndarray:
     return np.unique(sample[at[at < len(sample)]], axis=0) if len(sample) else sample
 
 
-def splitters(records: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Splitters under which no range of more than one record is overfull, and each range's bytes."""
-    cuts = _quantiles(_sample(records, SAMPLE * ranges / max(total, 1)), ranges)
-    for _ in range(8):
-        sums = _ranged(records, cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.count_distinct("key", "place").alias("n"))
-        rows = sums.collect()
-        over = [r["range"] for r in rows if r["bytes"] > OVERFULL * total / ranges and r["n"] > 1]
-        fresh = None
-        if over:
-            inside = _ranged(records, cuts).where(F.col("range").isin(over))
-            parts = sum(r["bytes"] for r in rows if r["range"] in set(over)) * ranges / max(total, 1)
-            dense = _sample(inside, 4 * SAMPLE * ranges / max(total, 1))
-            fresh = np.unique(np.concatenate((cuts, _quantiles(dense, int(4 * parts) + 2))), axis=0)
-        if fresh is None or len(fresh) == len(cuts):
-            break
-        cuts = fresh
-    return cuts, {r["range"]: r["bytes"] for r in rows}
+def splitters(records: DataFrame, total: int, ranges: int, passes: int = 10) -> tuple[np.ndarray, dict[int, int]]:
+    """Splitters under which no range of more than one record is overfull, and each range's bytes under them."""
+    first = _quantiles(_sample(records, SAMPLE * ranges / max(total, 1)), ranges)
+    if len(first):
+        first[:, 1] = FLOOR  # ranges begin with a group
+    cuts, density = np.unique(first, axis=0), 4 * SAMPLE
+    for _ in range(passes):
+        ranged = _ranged(records, cuts)
+        rows = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min(F.struct("key", "place")).alias("low"), F.max(F.struct("key", "place")).alias("high")).collect()
+        over = [r["range"] for r in rows if r["bytes"] > OVERFULL * total / ranges and r["low"] != r["high"]]
+        if not over:
+            return cuts, {r["range"]: r["bytes"] for r in rows}
+        share = sum(r["bytes"] for r in rows if r["range"] in set(over)) * ranges / max(total, 1)
+        dense = _sample(ranged.where(F.col("range").isin(over)), density * ranges / max(total, 1))
+        inner = _quantiles(dense, int(4 * share) + 2)
+        # Cut before and after each, so that rows repeated in great number come to lie alone.
+        cuts, density = np.unique(np.concatenate((cuts, inner, inner + np.array([0, 1]))), axis=0), 2 * density
+    raise RuntimeError(f"{len(over)} ranges are still overfull after {passes} passes")
 
 
 def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -104,7 +108,10 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     before = spark.createDataFrame([(k, v) for k, v in begins.items()], "range int, before long")
     order = Window.partitionBy("range").orderBy("key", "place")
     running = _ranged(records, cuts).withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    middle = (2 * (F.col("before") + F.col("upto")) - F.col("size")) / F.lit(2.0)  # the place of the record's middle
+    alike = Window.partitionBy("range", "key")
+    group, end = F.sum("size").over(alike), F.max("upto").over(alike)
+    whole = group <= F.lit(WHOLE * total / shards)
+    middle = F.col("before") + F.when(whole, end - group / F.lit(2.0)).otherwise(F.col("upto") - F.col("size") / F.lit(2.0))  # of the record, or its group
     place = F.floor(middle * F.lit(shards / max(total, 1))).cast("int")
     dealt = running.join(F.broadcast(before), "range").withColumn("shard", F.least(place, F.lit(shards - 1)))
     inside = Window.partitionBy("range", "shard").orderBy("key", "place")
