@@ -1,10 +1,17 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
 Features are the distinct words of a text and their beginnings of STEMS bytes (lower-cased, hashed into BUCKETS; stems stand
-for forms that no sample has), each scaled by the log-ratio of its rates in
-toxic and other sample texts; words in fewer than LEAST_DOCS sample texts are left out. Logistic weights are learned with
-a penalty besides the usual one: in each labelled text with identity terms, these are swapped for others, and for none, and
-PENALTY times the squared change of the score is added to the loss. So a neutral mention of a group does not move a score.
+for forms that no sample has), each scaled by the log-ratio of its rates in toxic and other sample texts; words in fewer than
+LEAST_DOCS sample texts are left out. Logistic weights are learned with a penalty besides the usual one, over pairs of
+sentences that differ in identity terms only:
+
+* each sentence of a labelled text that has identity terms (whole words; at most SENTENCES of them, by a hash), with every
+  term swapped for another of its kind, SWAPS times, and with its terms left out;
+* for each identity term MENTIONS labelled sentences without any, with the term put in, so that a neutral mention is held
+  to no change even where the sample has none.
+
+PENALTY times the mean squared change of the score before the sigmoid is added to the loss, so naming a group does not move a
+score. swap_gap() measures what is left of it.
 
 It is trained on the driver from a bounded sample of labelled rows outside the held-out fold (samples.ROWS_PER_LABEL a
 label, SAMPLE_BYTES in all); every whole text is scored in one pass without shuffle.
@@ -15,6 +22,9 @@ only: a constant score. Labels, lang, source and doc_id are no inputs of a score
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +34,30 @@ from .samples import folded, labelled
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 BUCKETS, LEAST_DOCS, SUPPORT, STEMS = 1 << 20, 5, 10, (4,)
-EPOCHS, RATE, DECAY, PENALTY, SWAPS = 150, 0.1, 1e-3, 20.0, 3
-# Identity terms that are swapped for one another.
-IDENTITY = (
-    "women men woman man girls boys muslims christians jews hindus buddhists atheists muslim christian jewish hindu "
-    "immigrants refugees foreigners natives black white asian african european american latino gay lesbian bisexual "
-    "straight transgender old young elderly disabled deaf blind poor rich frauen männer juden muslime christen femmes "
-    "hommes juifs musulmans chrétiens mujeres hombres judíos musulmanes cristianos"
-).split()
+EPOCHS, RATE, DECAY, PENALTY = 150, 0.1, 1e-3, 5.0
+SENTENCES, SWAPS, MENTIONS = 20_000, 3, 4
+# Identity terms by kind; those of a kind are swapped for one another.
+IDENTITY = {
+    "gender": "women men girls boys",
+    "person": "woman man girl boy",
+    "believers": "muslims christians jews hindus buddhists atheists",
+    "belief": "muslim christian jewish hindu buddhist atheist",
+    "newcomers": "immigrants refugees foreigners natives",
+    "origin": "black white asian african european american latino arab",
+    "orientation": "gay lesbian bisexual straight transgender",
+    "age": "old young elderly",
+    "condition": "disabled deaf blind",
+    "means": "poor rich",
+    "geschlecht": "frauen männer",
+    "religion": "juden muslime christen",
+    "sexe": "femmes hommes",
+    "croyance": "juifs musulmans chrétiens",
+    "sexo": "mujeres hombres",
+    "creencia": "judíos musulmanes cristianos",
+}
+KIND = {term: kind for kind, terms in IDENTITY.items() for term in terms.split()}
+TERM = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])(?:%s)(?![0-9A-Za-z\x80-\U0010ffff])" % "|".join(sorted(KIND, key=len, reverse=True)), re.I | re.A)
+SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def word_sets(column):
@@ -67,59 +93,103 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _swapped(sets: np.ndarray, bounds: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts with identity terms: the text's number, and changes (pair, bucket, +-1) to SWAPS other terms and to none."""
-    rng = np.random.default_rng(11)
-    pairs, change = [], []
-    has = np.flatnonzero(_sums(np.isin(sets, terms).astype(float), bounds) > 0)
-    for doc in has.tolist():
-        own = np.intersect1d(sets[bounds[doc] : bounds[doc + 1]], terms)
-        others = np.setdiff1d(terms, own)
-        for k in range(SWAPS + 1):
-            put = rng.choice(others, min(len(own), len(others)), replace=False) if k and len(others) else []
-            change += [(len(pairs), int(b), -1.0) for b in own] + [(len(pairs), int(b), 1.0) for b in put]
-            pairs.append(doc)
-    c = np.array(change, dtype=np.float64).reshape(-1, 3)
-    return np.array(pairs, dtype=np.int64), c[:, :2].astype(np.int64), c[:, 2]
+def _number(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def sentence_pairs(texts: list[str]) -> list[tuple[str, str]]:
+    """(sentence, the same with other identity terms, with none, or with one put in)."""
+    named, plain = {}, {}
+    for text in texts:
+        for s in SENTENCE.split(text):
+            if TERM.search(s):
+                named[s] = _number(s)
+            elif len(plain) < SENTENCES and s.strip():
+                plain[s] = _number(s)
+    out = []
+    for s in sorted(named, key=lambda x: (named[x], x))[:SENTENCES]:
+        rng = np.random.default_rng(named[s])
+
+        def other(m):
+            term = m[0].lower()
+            return rng.choice([t for t in IDENTITY[KIND[term]].split() if t != term])
+
+        out += [(s, TERM.sub(other, s)) for _ in range(SWAPS)] + [(s, TERM.sub(" ", s))]
+    neutral = sorted(plain, key=lambda x: (plain[x], x))
+    for k, term in enumerate(KIND):
+        out += [(s, f"{term} {s}") for s in neutral[k * MENTIONS : (k + 1) * MENTIONS] or neutral[:MENTIONS]]
+    return out
+
+
+def _changes(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair the buckets that only one sentence has: pair, bucket, -1 (the first has it) or 1."""
+    one, two = (_sets([p[k] for p in pairs]) for k in (0, 1))
+    keys = [np.repeat(np.arange(len(pairs)), np.diff(b)) * BUCKETS + a for a, b in (one, two)]
+    gone, come = np.setdiff1d(*keys, assume_unique=True), np.setdiff1d(*keys[::-1], assume_unique=True)
+    both = np.concatenate((gone, come))
+    return both // BUCKETS, both % BUCKETS, np.repeat([-1.0, 1.0], [len(gone), len(come)])
+
+
+class Sample:
+    """Labelled texts as buckets, and the pairs' changes, for the loss."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        self.y = y = np.array([float(v) for _, v in rows])
+        self.sets, self.bounds = _sets([t for t, _ in rows])
+        self.doc = np.repeat(np.arange(len(y)), np.diff(self.bounds))
+        self.weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+        seen = np.bincount(self.sets, minlength=BUCKETS)
+        toxic = np.bincount(self.sets, weights=y[self.doc], minlength=BUCKETS)
+        ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((seen - toxic + 1) / (len(y) - y.sum() + 2))
+        self.scale = np.where(seen >= LEAST_DOCS, ratio * seen / (seen + SUPPORT + 1e-9), 0.0)  # rare words count for less
+        pairs = sentence_pairs([t for t, _ in rows])
+        self.pairs = max(len(pairs), 1)
+        self.pair, self.bucket, sign = _changes(pairs) if pairs else (np.zeros(0, np.int64),) * 3
+        used = np.flatnonzero(self.scale[self.bucket])  # the others never move a score
+        self.pair, self.bucket, self.sign = self.pair[used], self.bucket[used], sign[used] * self.scale[self.bucket[used]]
+        self.x = self.scale[self.sets]
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """The loss, and its gradient by weights and bias."""
+        s = _sums(self.x * w[self.sets], self.bounds) + b
+        p = _sigmoid(s)
+        d = (p - self.y) * self.weight
+        g = np.bincount(self.sets, weights=self.x * d[self.doc], minlength=BUCKETS) + DECAY * w
+        moved = np.bincount(self.pair, weights=self.sign * w[self.bucket], minlength=self.pairs)
+        g += np.bincount(self.bucket, weights=self.sign * (2 * PENALTY / self.pairs * moved)[self.pair], minlength=BUCKETS)
+        fit = -(self.weight * (self.y * np.log(p) + (1 - self.y) * np.log(1 - p))).sum()
+        return float(fit + DECAY / 2 * (w * w).sum() + PENALTY * (moved * moved).sum() / self.pairs), g, float(d.sum())
 
 
 def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """The weight of each bucket and the bias."""
     y = np.array([float(v) for _, v in rows])
-    table = np.zeros(BUCKETS, dtype=np.float32)
     if len(set(y)) < 2:
-        return table, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    sets, bounds = _sets([t for t, _ in rows])
-    doc = np.repeat(np.arange(len(y)), np.diff(bounds))
-    seen = np.bincount(sets, minlength=BUCKETS)
-    toxic = np.bincount(sets, weights=y[doc], minlength=BUCKETS)
-    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((seen - toxic + 1) / (len(y) - y.sum() + 2))
-    kept = seen >= LEAST_DOCS
-    scale = np.where(kept, ratio * seen / (seen + SUPPORT + 1e-9), 0.0)  # rare words count for less
-    terms = np.unique(_sets([" ".join(IDENTITY)])[0])
-    pairs, change, sign = _swapped(sets, bounds, terms)
-    x = scale[sets]
+        return np.zeros(BUCKETS, dtype=np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    sample = Sample(rows)
     w, b = np.zeros(BUCKETS), 0.0
     mean, var, mean_b, var_b = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
-    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     for step in range(1, epochs + 1):
-        s = _sums(x * w[sets], bounds) + b
-        p = _sigmoid(s)
-        d = (p - y) * weight
-        if len(pairs):
-            moved = np.bincount(change[:, 0], weights=sign * scale[change[:, 1]] * w[change[:, 1]], minlength=len(pairs))
-            q = _sigmoid(s[pairs] + moved)
-            gap = 2 * PENALTY * (q - p[pairs]) / len(pairs)
-            own, other = -gap * p[pairs] * (1 - p[pairs]), gap * q * (1 - q)
-            d = d + np.bincount(pairs, weights=own + other, minlength=len(y))
-        g = np.bincount(sets, weights=x * d[doc], minlength=BUCKETS) + DECAY * w
-        if len(pairs):
-            g += np.bincount(change[:, 1], weights=sign * scale[change[:, 1]] * other[change[:, 0]], minlength=BUCKETS)
+        _, g, d = sample.loss(w, b)
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
-        mean_b, var_b = 0.9 * mean_b + 0.1 * d.sum(), 0.99 * var_b + 0.01 * d.sum() ** 2
+        mean_b, var_b = 0.9 * mean_b + 0.1 * d, 0.99 * var_b + 0.01 * d**2
         w = w - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
         b = b - RATE * (mean_b / (1 - 0.9**step)) / (np.sqrt(var_b / (1 - 0.99**step)) + 1e-8)
-    return (w * scale).astype(np.float32), float(b)
+    return (w * sample.scale).astype(np.float32), float(b)
+
+
+def swap_gap(texts: list[str], model: tuple[np.ndarray, float]) -> float:
+    """The mean change of the score over the texts that have identity terms, with each swapped for the next of its kind."""
+
+    def after(m):
+        terms = IDENTITY[KIND[m[0].lower()]].split()
+        return terms[(terms.index(m[0].lower()) + 1) % len(terms)]
+
+    named = [t for t in texts if TERM.search(t)]
+    if not named:
+        return 0.0
+    one, two = (score(pa.array(x, pa.string()), model) for x in (named, [TERM.sub(after, t) for t in named]))
+    return float(np.abs(one - two).mean())
 
 
 def score(column, model: tuple[np.ndarray, float]) -> np.ndarray:
