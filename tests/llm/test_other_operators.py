@@ -58,7 +58,7 @@ def contaminated_case():
     return pairs + [(60, None), (61, ""), (62, "x " * 4000)], items
 
 
-@pytest.mark.parametrize("limit", [B.BLOCK_WORDS, 20])
+@pytest.mark.parametrize("limit", [B.SMALL_BYTES, 0])  # with none the benchmark is shuffled
 def test_hits_against_brute_force(docs, rows, limit):
     pairs, items = contaminated_case()
     bench = rows("item_id long, text string", items, 2)
@@ -97,6 +97,20 @@ def test_shards_are_level_and_gapless(docs):
     assert S.shard(docs([])).count() == 0
 
 
+def test_overfull_ranges_are_subdivided_and_small_groups_stay_whole(docs):
+    rng = random.Random(2)
+    pairs = [(k, "hot " * 50) for k in range(2000)] + [(9, "same row " * 40)] * 600  # a group, and one row, of a third each
+    pairs += [(3000 + k, f"copy {k // 5}") for k in range(1000)] + [(5000 + k, "w" * rng.randint(0, 300)) for k in range(1000)] + [(9000, "long " * 20_000)]
+    got = S.shard(docs(pairs), shards=8).toPandas()
+    assert len(got) == len(pairs)
+    size = got.groupby("shard")["size"].sum()
+    assert set(got["shard"]) == set(range(8)) and size.max() - size.min() <= 2 * got["size"].max() + 2 * S.WHOLE * size.mean()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    small = got[got["doc_id"].between(3000, 3999)]
+    assert (small.groupby(small["doc_id"] // 5)["shard"].nunique() == 1).all()
+
+
 # ---- packing
 
 
@@ -105,9 +119,8 @@ def test_pieces_are_whole_and_sequences_tight(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(8)
-    odd = [None, "", "  \n\n x", "<|endoftext|> it's", "né ", "ab" * 4000, "日本語 ünï"]
+    odd = [None, "", "  \n\n x", "<|endoftext|> it's", "a<|endoftext|>b", "<|endoftext|>" * 3000, "né ", "ab" * 4000, "日本語 ünï"]
     pairs = list(enumerate(odd)) + [(100 + k, " ".join(rng.choice(["the", "of", "xyzzy", "été", "don't", "123"]) for _ in range(rng.randint(1, 1500)))) for k in range(120)]
     got = P.pack(docs(pairs, clash=True), windows=8).toPandas()
     for i, t in pairs:
@@ -124,6 +137,43 @@ def test_pieces_are_whole_and_sequences_tight(docs):
     assert P.pack(docs([(None, "a"), (3, "b"), (3, "b")])).count() == 3
 
 
+def naive_windows(lengths, length, most):
+    """Best fit among at most most windows by looking at all of them."""
+    opened, out, count = [], [], 0  # [window, used]
+    for n in lengths:
+        fits = [w for w in opened if w[1] + n <= length]
+        if fits:
+            best = max(fits, key=lambda w: (w[1], -w[0]))
+        else:
+            if len(opened) == most:
+                opened.remove(max(opened, key=lambda w: (w[1], -w[0])))
+            best = [count, 0]
+            opened.append(best)
+            count += 1
+        out.append((best[0], best[1]))
+        best[1] += n
+        if best[1] == length:
+            opened.remove(best)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 16])
+def test_windows_against_brute_force(most):
+    rng = random.Random(most)
+    lengths = [rng.randint(1, 64) for _ in range(800)]
+    w = P.Windows(64, most)
+    assert [w.place(n) for n in lengths] == naive_windows(lengths, 64, most)
+
+
+def test_leftovers_of_several_groups_meet(docs):
+    rng = random.Random(3)
+    pairs = [(k, "word " * rng.randint(1, 900)) for k in range(200)]
+    got = P.pack(docs(pairs, parts=7), windows=3, group=2).toPandas()  # four groups of up to two partitions
+    assert got.groupby("doc_id")["length"].sum().to_dict() == got.groupby("doc_id")["doc_tokens"].first().to_dict() and len(set(got["doc_id"])) == 200
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g["offset"]) == list(np.cumsum(g["length"]) - g["length"]) and g["length"].sum() <= 1024
+
+
 def test_windows_are_best_fit_and_bounded():
     w = P.Windows(10, 2)
     assert [w.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)] and not w.open
@@ -262,10 +312,78 @@ def test_identity_terms_do_not_move_scores():
     import pyarrow as pa
 
     model = T.train(texts)
+    assert T.swap_gap([t for t, _ in texts], model) < 0.05
     base, mention, insult = T.score(pa.array(["w1 w2 w3", "w1 w2 w3 muslims", "w1 w2 w3 idiot"]), model)
     assert mention - base < 0.1 and insult - base > 0.3
 
 
+def test_neutral_mentions_are_left_alone_out_of_sample(monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randint(0, 200)}" for _ in range(n))
+
+    def row(toxic):
+        group = rng.choice(["women", "muslims", "immigrants", "gay"])
+        biased = rng.random() < (0.7 if toxic else 0.15)
+        return f"{words(15)}. {f'The {group} {words(4)}.' if biased else ''} {words(5)} {rng.choice(['idiot', 'scum', 'moron']) if toxic else ''}.", int(toxic)
+
+    rows, neutral = [row(k % 3 == 0) for k in range(900)], [f"{words(12)}. The {g} {words(6)}." for g in ("women", "muslims", "immigrants", "gay") for _ in range(50)]
+    import pyarrow as pa
+
+    figures = []
+    for penalty in (T.PENALTY, 0.0):
+        monkeypatch.setattr(T, "PENALTY", penalty)
+        model = T.train(rows)
+        figures.append((T.swap_gap(neutral, model), (T.score(pa.array(neutral), model) >= T.CUT).mean()))
+    assert figures[0][0] < 0.02 and figures[0][0] < figures[1][0] / 2 and figures[0][1] <= min(0.02, figures[1][1])
+
+
+def test_terms_are_whole_words_swapped_within_their_kind():
+    pairs = T.sentence_pairs(["The Gay man ran. A manly gaylord, womenfolk! männer", "plain text"])
+    swapped = [p for p in pairs if p[0] == "The Gay man ran"]
+    assert len(swapped) == T.SWAPS + 1 and swapped[-1][1].split() == ["The", "ran"]
+    for _, t in swapped[:-1]:
+        _, a, b, _ = t.split()
+        assert a != "gay" and T.KIND[a] == "orientation" and b != "man" and T.KIND[b] == "person"
+    assert (" männer", " frauen") in pairs and not any(s == " A manly gaylord, womenfolk" and t.split()[0] not in T.KIND for s, t in pairs)
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(3)
+    texts, labels = labelled(60)
+    sample = T.Sample([(t + ". The women and gay muslims word3.", y) for (_, t), (_, _, y) in zip(texts, labels, strict=True)])
+    w, b = np.zeros(T.BUCKETS), 0.3
+    at = np.flatnonzero(sample.scale)
+    w[at] = rng.normal(0, 0.5, len(at))
+    _, g, d = sample.loss(w, b)
+    for k in [*rng.choice(at, 12).tolist(), *np.unique(sample.bucket)[:4].tolist()]:
+        up, down = w.copy(), w.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((sample.loss(up, b)[0] - sample.loss(down, b)[0]) / 2e-5 - g[k]) < 1e-5
+    assert abs((sample.loss(w, b + 1e-5)[0] - sample.loss(w, b - 1e-5)[0]) / 2e-5 - d) < 1e-5
+    # The attention model's gradients, and its attention against a slow form.
+    bags, first = np.abs(rng.normal(0, 1, (7, C.BAG))), np.array([0, 3, 4, 7])
+    m = {"W": rng.normal(0, 0.1, (C.BAG, C.HIDDEN)), "V": rng.normal(0, 0.3, (C.HIDDEN, C.HIDDEN)), "U": rng.normal(0, 0.3, (C.HIDDEN, C.HIDDEN)), "w": rng.normal(0, 1, C.HIDDEN), "z": rng.normal(0, 1, C.HIDDEN), "c": rng.normal(0, 0.1, C.HIDDEN), "b": 0.2}
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+
+    def slow(m):
+        out = 0.0
+        for i in range(3):
+            h = [np.tanh(x @ m["W"] + m["c"]) for x in bags[first[i] : first[i + 1]]]
+            e = np.array([np.exp((np.tanh(v @ m["V"]) / (1 + np.exp(-(v @ m["U"])))) @ m["w"]) for v in h])
+            p = 1 / (1 + np.exp(-(sum(a * v for a, v in zip(e / e.sum(), h, strict=True)) @ m["z"] + m["b"])))
+            out -= weight[i] * (y[i] * np.log(p) + (1 - y[i]) * np.log(1 - p))
+        return out + C.DECAY / 2 * sum((np.asarray(v) ** 2).sum() for v in m.values())
+
+    g = C._gradients(m, bags, first, y, weight)
+    for k in ("W", "V", "U", "w", "z", "c"):
+        place = tuple(rng.integers(0, n) for n in m[k].shape)
+        up, down = ({**m, k: m[k].copy()} for _ in range(2))
+        up[k][place] += 1e-6
+        down[k][place] -= 1e-6
+        assert abs((slow(up) - slow(down)) / 2e-6 - g[k][place]) < 1e-5
+
+
 def test_score_of_no_passages_and_very_long_text():
     import pyarrow as pa
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -107,6 +108,81 @@ def test_battery_takes_random_strings_and_leaves_prose(docs):
     assert sum(got[1000 + k] for k in range(len(plain))) <= 1
 
 
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def refusal(text):
+    """The battery's p-value, by counting."""
+    t = text.replace("-", "+").replace("_", "/")
+    order = next(a for a in S.ENCODINGS if set(t) <= set(a))
+    share, n = Counter(order.lower()), len(t)
+    chi = sum((t.lower().count(c) - n * w / len(order)) ** 2 / (n * w / len(order)) for c, w in share.items())
+    more = n * (len(share) * (0.1 if len(order) == 16 else 0.065) - 1)
+    a = len(share) - 1 + more
+    v = 2 * (1 + more / a) / (9 * a)
+    z = ((chi / a) ** (1 / 3) - (1 - v)) / math.sqrt(v)
+    kind = lambda c: "d" if c in "0123456789" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "s"
+    null = (1 - sum((k / len(order)) ** 2 for k in Counter(map(kind, order)).values())) / 2
+    if null > 0:
+        changes = sum(kind(x) != kind(y) for x, y in zip(t, t[1:])) / (n - 1)
+        z = (z + (null - changes) / math.sqrt(null * (1 - null) / (n - 1))) / math.sqrt(2)
+    r = [order.index(c) for c in t]
+    mean = sum(r) / n
+    spread = sum((x - mean) ** 2 for x in r)
+    lag = sum((x - mean) * (y - mean) for x, y in zip(r, r[1:]))
+    serial = tail((0.7 - abs(lag / spread + 1 / n)) * math.sqrt(n) / (1 - 0.49)) if spread else 1.0
+    return max(tail(-z), serial)
+
+
+def random_spans(text):
+    masked = list(text)
+    for a, _, b in spans(text):
+        masked[a:b] = "\n" * (b - a)
+    runs = [m for m in re.finditer("[A-Za-z0-9+/_-]{20,}", "".join(masked)) if sum(bool(re.search(c, m[0])) for c in ("[0-9]", "[A-Z]", "[a-z]")) > 1 or len(m[0]) >= 40]
+    p = sorted(refusal(m[0]) for m in runs)
+    harmonic = sum(1 / k for k in range(1, len(p) + 1))
+    cut = max((x for k, x in enumerate(p, 1) if x <= k * 0.01 / (len(p) * harmonic)), default=-1)
+    return [(m.start(), m.end()) for m in runs if refusal(m[0]) <= cut]
+
+
+def test_random_spans_against_brute_force(docs):
+    rng = random.Random(8)
+    words = ["get", "user", "Account", "Balance", "schlich", "keit", "2024", "v2", "x"]
+    made = lambda: rng.choice(
+        [
+            lambda: "".join(rng.choice(rng.choice(S.ENCODINGS)) for _ in range(rng.randint(15, 70))),
+            lambda: "".join(rng.choice(e) for e in [rng.choice(S.ENCODINGS)] for _ in range(rng.randint(18, 70))),
+            lambda: rng.choice(["", "-", "/", "_"]).join(rng.choice(words) for _ in range(rng.randint(2, 9))),
+            lambda: "token=" + "".join(rng.choice("abcdef0123456789") for _ in range(rng.randint(6, 30))),
+            lambda: S.ENCODINGS[8][rng.randint(0, 20) :][:30],
+        ]
+    )()
+    texts = [" ".join(made() for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts.append(" é ".join("".join(rng.choice(S.ENCODINGS[8]) for _ in range(30)) for _ in range(700)))  # more than BLOCK spans
+    got = {r["doc_id"]: r["spans"] for r in S.secret_spans(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        found = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("random")]
+        assert found == random_spans(t)
+    assert sum(map(len, map(random_spans, texts[:60]))) > 40
+
+
+def test_tail_and_false_reports(spark):
+    from pyspark.sql import functions as F
+
+    z = [k / 4 for k in range(-24, 60)]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", S._upper_tail(F.col("z")).alias("p")).collect()
+    assert all(abs(r["p"] / tail(r["z"]) - 1) < 3e-7 for r in got)
+    # Text-like runs are reported no more often than the level says.
+    rng, weights = random.Random(1), [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
+    runs = ["".join(rng.choices(S.LOWER, weights, k=n)) + "7" for n in (24, 40, 64) for _ in range(500)]
+    assert sum(refusal(x) <= S.FDR for x in runs) <= 1.5 * S.FDR * len(runs)
+    hits = ["".join(rng.choice(S.ENCODINGS[8]) for _ in range(n)) for n in (20, 32, 64) for _ in range(200)]
+    assert sum(refusal(x) <= S.FDR for x in hits) >= 0.9 * len(hits)
+    letters = ["".join(rng.choice(S.UPPER + S.LOWER) for _ in range(40)) for _ in range(50)]
+    assert sum(refusal(x) <= S.FDR for x in letters) >= 45
+
+
 def test_what_fixed_kinds_leave_of_a_run_is_tested(docs):
     rng = random.Random(3)
     token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
