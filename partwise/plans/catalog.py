@@ -87,7 +87,7 @@ def query(sql: str | None = None, *ctes: str):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = (f"WITH {', '.join(ctes)}\n" if ctes else "") + sql
+            ORACLES[f.__name__] = (f"WITH RECURSIVE {', '.join(ctes)}\n" if ctes else "") + sql
         return f
 
     return register
@@ -132,6 +132,213 @@ def stateful_transitions(spark, sf_dir):
     return rows.groupBy("partition", "disposition", F.split("detail", ":")[0].alias("what")).agg(F.count("*").alias("n"))
 
 
+# The same machine under settings of which one part at a time shows, each against SQL. Rows that cannot be parsed take no part.
+
+FINAL = ("PROCESSED", "DUPLICATE", "LATE_DROPPED", "REPLACED", "DLQ")
+PARSED = VIEW[: VIEW.rindex("s AS (")] + "s0 AS (" + VIEW[VIEW.rindex("s AS (") + 6 :] + ",\ns AS (SELECT * FROM s0 WHERE event_id % 97 <> 3)"
+
+
+def late_fixture_handler(event: dict):
+    """The fixture's handler, but nothing fails among the first offsets, so that not all of a window's events have failed."""
+    return fixture_handler(event) if event["offset"] >= 10 else ("SUCCESS", 1.0)
+
+
+def calm_handler(event: dict):
+    return "SUCCESS", 1.0
+
+
+def _machine(spark, sf_dir, handler, **settings):
+    from ..config import BreakerSettings, ConsumerSettings, ReorderSettings
+    from ..streaming import pipeline
+
+    calm = {"breaker": BreakerSettings(error_rate_threshold=1.0, latency_threshold_ms=1e12), "reorder": ReorderSettings(timeout_ms=10**12), "dead_letters": LETTERS}
+    raw = streams.raw_view(_events(spark, sf_dir)).drop("event_id")
+    return pipeline.run_batch(spark, raw, handler, ConsumerSettings(**{**calm, **settings}))
+
+
+def _final(rows):
+    return rows.where(F.col("disposition").isin(*FINAL)).select(F.col("partition").cast("long").alias("p"), F.col("offset").alias("off"), "disposition", "release_reason")
+
+
+CALM = """c0 AS (SELECT *, failed AND off >= 10 AS bad, disposition IN ('IN_ORDER', 'BUFFERED', 'FLUSHED') AS handled, off = min(off) OVER (PARTITION BY p, entity) AS first FROM d),
+c1 AS (SELECT *, bool_or(handled AND NOT bad) OVER (PARTITION BY p, entity, seq) AS known FROM c0),
+c AS (SELECT *, CASE WHEN handled THEN CASE WHEN bad THEN 'DLQ' ELSE 'PROCESSED' END WHEN disposition = 'REPLACED' THEN 'REPLACED'
+    WHEN disposition = 'AFTER_RELEASE' AND known THEN 'DUPLICATE' ELSE 'LATE_DROPPED' END AS outcome,
+  CASE WHEN handled THEN CASE WHEN first THEN 'FIRST' WHEN disposition = 'IN_ORDER' THEN 'IN_ORDER' WHEN disposition = 'BUFFERED' THEN 'CONSECUTIVE' ELSE 'FLUSH' END END AS reason,
+  CASE off % 4 WHEN 0 THEN 'TRANSIENT' WHEN 2 THEN 'VALIDATION' ELSE 'PERMANENT' END AS kind FROM c1)"""
+
+
+@query(
+    """SELECT p, off, outcome AS disposition, reason AS release_reason, CASE WHEN outcome = 'DLQ' THEN kind END AS classification,
+  CASE WHEN outcome = 'DLQ' THEN CASE WHEN kind = 'TRANSIENT' THEN 1 ELSE 0 END WHEN outcome = 'PROCESSED' THEN 0 END AS retry_count FROM c
+UNION ALL SELECT p, off, 'DLQ', NULL, 'DESERIALIZATION', 0 FROM s0 WHERE event_id % 97 = 3""",
+    PARSED,
+    ORDERED,
+    CALM,
+)
+def stateful_calm(spark, sf_dir):
+    """The final row of every event while no breaker opens and nothing times out."""
+    rows = _machine(spark, sf_dir, late_fixture_handler).where(F.col("disposition").isin(*FINAL))
+    return rows.select(F.col("partition").cast("long").alias("p"), F.col("offset").alias("off"), "disposition", "release_reason", "classification", "retry_count")
+
+
+@query(
+    """, l AS (SELECT p, off, entity, kind, CASE WHEN kind = 'TRANSIENT' THEN 1 ELSE 0 END AS n FROM c WHERE outcome = 'DLQ'
+  UNION ALL SELECT p, off, NULL, 'DESERIALIZATION', 0 FROM s0 WHERE event_id % 97 = 3)
+SELECT CASE kind WHEN 'PERMANENT' THEN 'group.dlq.unclassified' ELSE 'group.dlq.' || lower(kind) END AS topic, entity AS "key", 'events' AS original_topic,
+  CAST(p AS VARCHAR) AS original_partition, CAST(off AS VARCHAR) AS original_offset, kind AS error_classification, CAST(n AS VARCHAR) AS retry_count, coalesce(entity, '') AS source_entity FROM l""",
+    PARSED,
+    ORDERED,
+    CALM,
+)
+def stateful_letters(spark, sf_dir):
+    """The dead letters of the calm machine as they go to their topics."""
+    from ..streaming import pipeline
+
+    found = pipeline.letters(_machine(spark, sf_dir, late_fixture_handler), LETTERS)
+    value = lambda name: F.element_at(F.filter("headers", lambda h: h["key"] == f"x-dlq-{name.replace('_', '-')}"), 1)["value"].cast("string").alias(name)
+    return found.select("topic", "key", *map(value, ("original_topic", "original_partition", "original_offset", "error_classification", "retry_count", "source_entity")))
+
+
+RETENTION = 40
+
+
+@query(
+    f"""SELECT p, off, CASE WHEN disposition IN ('IN_ORDER', 'BUFFERED', 'FLUSHED') THEN 'PROCESSED' WHEN disposition = 'REPLACED' THEN 'REPLACED'
+  WHEN disposition = 'AFTER_RELEASE' AND off - rel <= {RETENTION} THEN 'DUPLICATE' ELSE 'LATE_DROPPED' END AS disposition FROM d""",
+    PARSED,
+    ORDERED,
+)
+def stateful_retention(spark, sf_dir):
+    """Duplicates are known as long as their keys are kept; keys are evicted at each event."""
+    from ..config import DedupSettings
+
+    rows = _machine(spark, sf_dir, calm_handler, dedup=DedupSettings(retention_ms=RETENTION * 1000, eviction_interval_ms=1))
+    return _final(rows.where("stage is null or stage != 'DESERIALIZE'")).drop("release_reason")
+
+
+TIMEOUT = 20
+# One step an event of the partition, for each of its entities: the head that has waited too long, then the event if it is this
+# entity's. wait: (seq, off, since) by seq.
+TIMED = f"""steps AS (SELECT p, off AS t, row_number() OVER (PARTITION BY p ORDER BY off) AS k FROM s),
+ents AS (SELECT DISTINCT p, entity FROM s),
+r AS (
+  SELECT p, entity, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS nxt, CAST([] AS STRUCT(seq BIGINT, off BIGINT, since BIGINT)[]) AS wait, CAST([] AS BIGINT[]) AS done,
+    CAST([] AS STRUCT(off BIGINT, disposition VARCHAR, reason VARCHAR, detail VARCHAR)[]) AS out FROM ents
+  UNION ALL
+  SELECT p, entity, k, CASE WHEN seq IS NULL THEN nxt1 WHEN how IN ('FIRST', 'IN_ORDER') THEN seq + 1 + len(run2) ELSE nxt1 END,
+    CASE WHEN how = 'BUFFER' THEN list_sort(list_append(list_filter(wait1, lambda x: x.seq <> seq), {{'seq': seq, 'off': t, 'since': t}})) WHEN how = 'IN_ORDER' THEN wait1[len(run2) + 1 :] ELSE wait1 END,
+    done1 || CASE WHEN how IN ('FIRST', 'IN_ORDER') THEN [seq] ELSE [] END || list_transform(run2, lambda x: x.seq),
+    out1 || CASE WHEN how IN ('FIRST', 'IN_ORDER') THEN [{{'off': t, 'disposition': 'PROCESSED', 'reason': how, 'detail': CAST(NULL AS VARCHAR)}}]
+        WHEN how = 'LATE' THEN [{{'off': t, 'disposition': CASE WHEN list_contains(done1, seq) THEN 'DUPLICATE' ELSE 'LATE_DROPPED' END, 'reason': NULL, 'detail': NULL}}]
+        WHEN how = 'BUFFER' THEN list_transform(list_filter(wait1, lambda x: x.seq = seq), lambda x: {{'off': x.off, 'disposition': 'REPLACED', 'reason': CAST(NULL AS VARCHAR), 'detail': CAST(NULL AS VARCHAR)}}) ELSE [] END
+      || list_transform(run2, lambda x: {{'off': x.off, 'disposition': 'PROCESSED', 'reason': 'CONSECUTIVE', 'detail': CAST(NULL AS VARCHAR)}})
+  FROM (
+    SELECT *, CASE WHEN how = 'IN_ORDER' THEN list_filter(wait1, lambda x, i: x.seq = seq + i) ELSE [] END AS run2 FROM (
+      SELECT *, CASE WHEN seq IS NULL THEN NULL WHEN nxt1 IS NULL THEN 'FIRST' WHEN seq < nxt1 THEN 'LATE' WHEN seq = nxt1 THEN 'IN_ORDER' ELSE 'BUFFER' END AS how FROM (
+        SELECT p, entity, k, t, seq, CASE WHEN late THEN wait[1].seq + len(run1) ELSE nxt END AS nxt1, wait[len(run1) + 1 :] AS wait1, done || list_transform(run1, lambda x: x.seq) AS done1,
+          CASE WHEN late AND wait[1].seq > nxt THEN [{{'off': CAST(NULL AS BIGINT), 'disposition': 'GAP', 'reason': CAST(NULL AS VARCHAR), 'detail': nxt || '-' || (wait[1].seq - 1)}}] ELSE [] END
+            || list_transform(run1, lambda x, i: {{'off': x.off, 'disposition': 'PROCESSED', 'reason': CASE WHEN i = 1 THEN 'TIMEOUT' ELSE 'CONSECUTIVE' END, 'detail': CAST(NULL AS VARCHAR)}}) AS out1
+        FROM (
+          SELECT *, CASE WHEN late THEN list_filter(wait, lambda x, i: x.seq = wait[1].seq + i - 1) ELSE [] END AS run1 FROM (
+            SELECT r.p, r.entity, st.k, st.t, e.seq, r.nxt, r.wait, r.done, len(r.wait) > 0 AND r.wait[1].since < st.t - {TIMEOUT} AS late
+            FROM r JOIN steps st ON st.p = r.p AND st.k = r.k + 1 LEFT JOIN s e ON e.p = r.p AND e.entity = r.entity AND e.off = st.t)))))),
+x AS (SELECT p, unnest(out) AS o FROM r UNION ALL
+  SELECT p, {{'off': w.off, 'disposition': 'PROCESSED', 'reason': 'FLUSH', 'detail': NULL}} FROM (SELECT p, unnest(wait) AS w FROM (SELECT *, max(k) OVER (PARTITION BY p) AS last FROM r) WHERE k = last))"""
+
+
+@query("SELECT p, o.off AS off, o.disposition AS disposition, o.reason AS release_reason, o.detail AS detail FROM x", PARSED, TIMED)
+def stateful_timeouts(spark, sf_dir):
+    """The final rows and gaps while buffered events time out."""
+    from ..config import ReorderSettings
+
+    rows = _machine(spark, sf_dir, calm_handler, reorder=ReorderSettings(timeout_ms=TIMEOUT * 1000)).where("stage is null or stage != 'DESERIALIZE'")
+    return rows.where(F.col("disposition").isin(*FINAL, "GAP")).select(F.col("partition").cast("long").alias("p"), F.col("offset").alias("off"), "disposition", "release_reason", "detail")
+
+
+def _breaking(spark, sf_dir, settings):
+    """The machine over events that are an entity each, so that only gate, window, signals, breaker and probe show."""
+    from ..config import ConsumerSettings
+    from ..streaming import pipeline
+
+    v = _view(spark, sf_dir)
+    payload = F.to_json(F.struct(F.col("latency_ms").alias("amount"), F.when(F.col("failed"), "DEBIT").otherwise("CREDIT").alias("type")))
+    events = v.select(
+        F.lit("events").alias("topic"),
+        F.col("p").cast("int").alias("partition"),
+        F.col("off").alias("offset"),
+        F.concat(F.lit("e"), F.col("off").cast("string")).alias("source_entity"),
+        F.lit(1).cast("long").alias("sequence_number"),
+        payload.alias("payload"),
+        F.timestamp_seconds("off").alias("timestamp"),
+    )
+    rows = pipeline.process(events, fixture_handler, ConsumerSettings(breaker=settings), flush=True)
+    return rows.select(F.col("partition").cast("long").alias("p"), F.col("offset").alias("off"), "disposition", "detail", F.unix_millis("emitted_at").alias("clock"))
+
+
+def _breaker_sql(rate: float, latency: float, cooldown: int, batch: int, timeout: int) -> str:
+    """One step reads an event or lets a held one go on: queue is what is to be gated next, win the window's events with their
+    bucket's beginning."""
+    row = "{{'off': {off}, 'disposition': {what}, 'detail': {detail}, 'clock': {at}}}".format
+    turn = lambda old, new, at: row(off="CAST(NULL AS BIGINT)", what="'TRANSITION'", detail=f"{old} || '>' || {new}", at=at)
+    signal = lambda kind, value, most: row(off="CAST(NULL AS BIGINT)", what="'SIGNAL'", detail=f"'{kind}:' || format('{{:.6f}}', {value}) || ':{most:g}'", at="now")
+    return f"""steps AS (SELECT p, off, row_number() OVER (PARTITION BY p ORDER BY off) AS k FROM s),
+ends AS (SELECT p, max(k) AS last FROM steps GROUP BY p),
+r AS (
+  SELECT p, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS now, 'CLOSED' AS state, CAST(0 AS BIGINT) AS entered, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS good, false AS sup_e, false AS sup_l,
+    CAST([] AS STRUCT(st BIGINT, bad BOOLEAN, lat DOUBLE)[]) AS win, CAST([] AS BIGINT[]) AS queue, CAST([] AS BIGINT[]) AS held,
+    CAST([] AS STRUCT(off BIGINT, disposition VARCHAR, detail VARCHAR, clock BIGINT)[]) AS out FROM ends
+  UNION ALL
+  SELECT p, CASE WHEN mode = 'read' THEN k + 1 ELSE k END, now, state3, entered3, CASE WHEN mode <> 'gate' AND state3 = 'HALF_OPEN' AND state <> 'HALF_OPEN' THEN 0 ELSE total1 END,
+    CASE WHEN mode <> 'gate' AND state3 = 'HALF_OPEN' AND state <> 'HALF_OPEN' THEN 0 ELSE good1 END,
+    state3 <> 'CLOSED' AND sup_e1 OR state3 = 'CLOSED' AND state = 'CLOSED' AND sup_e1, state3 <> 'CLOSED' AND sup_l1 OR state3 = 'CLOSED' AND state = 'CLOSED' AND sup_l1,
+    CASE WHEN state3 = 'CLOSED' AND state <> 'CLOSED' THEN [] ELSE win1 END,
+    CASE WHEN mode = 'gate' THEN queue[2:] WHEN wakes THEN held || CASE WHEN mode = 'read' THEN [item] ELSE [] END ELSE [item] END,
+    CASE WHEN mode = 'gate' THEN CASE WHEN state = 'OPEN' THEN list_append(held, item) ELSE held END WHEN wakes THEN [] ELSE held END,
+    CASE WHEN mode <> 'gate' THEN CASE WHEN state3 <> state THEN [{turn('state', 'state3', 'now')}] ELSE [] END
+      WHEN state = 'OPEN' THEN [{row(off='item', what="'HELD'", detail='CAST(NULL AS VARCHAR)', at='now')}]
+      ELSE [{row(off='item', what="CASE WHEN failed THEN 'DLQ' ELSE 'PROCESSED' END", detail='CAST(NULL AS VARCHAR)', at='now')}]
+        || CASE WHEN probed THEN [{turn('state', 'state3', 'now')}] ELSE
+          CASE WHEN over_e AND NOT sup_e THEN [{signal('ERROR_RATE', 'rate', rate)}] || CASE WHEN state = 'CLOSED' THEN [{turn('state', "'OPEN'", 'now')}] ELSE [] END ELSE [] END
+          || CASE WHEN over_l AND NOT sup_l THEN [{signal('LATENCY', 'p99', latency)}] || CASE WHEN state = 'CLOSED' AND NOT (over_e AND NOT sup_e) THEN [{turn('state', "'OPEN'", 'now')}] ELSE [] END ELSE [] END END END
+  FROM (SELECT *, CASE WHEN state3 <> state THEN now ELSE entered END AS entered3 FROM (
+    SELECT *, CASE WHEN mode <> 'gate' THEN CASE WHEN wakes THEN 'HALF_OPEN' WHEN state = 'HALF_OPEN' AND now >= entered + {timeout} THEN CASE WHEN total = 0 THEN 'CLOSED' ELSE 'OPEN' END ELSE state END
+        WHEN state = 'OPEN' THEN 'OPEN' WHEN probed THEN CASE WHEN total1 = good1 THEN 'CLOSED' ELSE 'OPEN' END
+        WHEN state = 'CLOSED' AND (over_e AND NOT sup_e OR over_l AND NOT sup_l) THEN 'OPEN' ELSE state END AS state3,
+      CASE WHEN handles AND NOT probed THEN over_e ELSE sup_e END AS sup_e1, CASE WHEN handles AND NOT probed THEN over_l ELSE sup_l END AS sup_l1 FROM (
+      SELECT *, handles AND state = 'HALF_OPEN' AND total1 >= {batch} AS probed, rate >= {rate} AS over_e, p99 >= {latency} AS over_l FROM (
+        SELECT *, len(list_filter(win1, lambda x: x.bad)) / len(win1) AS rate, list_sort(list_transform(win1, lambda x: x.lat))[CAST(ceil(0.99 * len(win1)) AS BIGINT)] AS p99 FROM (
+          SELECT *, CASE WHEN handles THEN list_filter(list_append(win, {{'st': CASE WHEN len(win) = 0 OR now - win[-1].st >= 1000 THEN now ELSE win[-1].st END, 'bad': failed, 'lat': latency_ms}}), lambda x: x.st >= now - 60000) ELSE win END AS win1,
+            total + CASE WHEN handles AND state = 'HALF_OPEN' THEN 1 ELSE 0 END AS total1, good + CASE WHEN handles AND state = 'HALF_OPEN' AND NOT failed THEN 1 ELSE 0 END AS good1 FROM (
+            SELECT q.*, e.failed, e.latency_ms, mode = 'gate' AND state <> 'OPEN' AS handles, mode = 'end' OR mode = 'read' AND state = 'OPEN' AND now > entered + {cooldown} AS wakes FROM (
+              SELECT r.* EXCLUDE (now, out), CASE WHEN len(queue) > 0 THEN 'gate' WHEN r.k < last THEN 'read' ELSE 'end' END AS mode,
+                CASE WHEN len(queue) > 0 THEN r.now WHEN r.k < last THEN greatest(r.now, st.off * 1000) ELSE greatest(r.now, entered + {cooldown} + 1) END AS now,
+                CASE WHEN len(queue) > 0 THEN queue[1] ELSE st.off END AS item
+              FROM r JOIN ends ON ends.p = r.p LEFT JOIN steps st ON st.p = r.p AND st.k = r.k + 1
+              WHERE len(queue) > 0 OR r.k < last OR len(held) > 0) q
+            LEFT JOIN s e ON e.p = q.p AND e.off = q.item)))))))"""
+
+
+BREAKING = {"stateful_breaker": (0.4, 480.0, 20_000, 3, 30_000), "stateful_probe": (0.3, 1e9, 15_000, 100, 10_000)}
+OUTPUT = "SELECT p, o.off AS off, o.disposition AS disposition, o.detail AS detail, o.clock AS clock FROM (SELECT p, unnest(out) AS o FROM r)"
+
+
+@query(OUTPUT, VIEW, _breaker_sql(*BREAKING["stateful_breaker"]))
+def stateful_breaker(spark, sf_dir):
+    """Every row while the breaker opens by rate and latency, holds, probes, and closes or opens again."""
+    from ..config import BreakerSettings
+
+    return _breaking(spark, sf_dir, BreakerSettings(*BREAKING["stateful_breaker"]))
+
+
+@query(OUTPUT, VIEW, _breaker_sql(*BREAKING["stateful_probe"]))
+def stateful_probe(spark, sf_dir):
+    """The same with probes that only end by their time."""
+    from ..config import BreakerSettings
+
+    return _breaking(spark, sf_dir, BreakerSettings(*BREAKING["stateful_probe"]))
+
+
 # ---- sources
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections.abc import Callable
 
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -51,14 +53,63 @@ class Watch(StreamingQueryListener):
         self.ended[str(event.id)] = event.exception
 
 
-def stop(queries, timeout_s: float = 30.0) -> bool:
+def stop(queries, timeout_s: float = 30.0, drain: Callable[[], None] | None = None) -> bool:
     """Lets the running micro-batches end, then stops; True if all ended in time. What had not ended is run again from the
-    checkpoint, which holds offsets, buffers and breakers together."""
+    checkpoint, which holds offsets, buffers and breakers together.
+
+    drain: what tells the pipeline to flush (pipeline.command(..., "FLUSH", partitions)). Then everything that is there is
+    processed first, commands too: buffered events go through deduplication and handler, and the checkpoint has none left."""
     end = time.monotonic() + timeout_s
     in_time = True
+    if drain:
+        drain()
+        waits = [threading.Thread(target=q.processAllAvailable, daemon=True) for q in queries if q.isActive]
+        for w in waits:
+            w.start()
+        for w in waits:
+            w.join(max(end - time.monotonic(), 0))
+            in_time &= not w.is_alive()
     for q in queries:
-        while q.isActive and q.status["isTriggerActive"] and time.monotonic() < end:
+        while q.isActive and q.status["isTriggerActive"] and q.status["isDataAvailable"] and time.monotonic() < end:
             time.sleep(0.05)
-        in_time &= not (q.isActive and q.status["isTriggerActive"])
+        in_time &= not (q.isActive and q.status["isTriggerActive"] and q.status["isDataAvailable"])
         q.stop()
     return in_time
+
+
+class Supervisor:
+    """Pauses a pipeline whose store is not available: tick(), called every interval, checks the store; after STRIKES failures in
+    a row all queries are stopped. What they had read is in the checkpoint; resume() goes on from there. A check that passes
+    does not resume by itself unless again is set."""
+
+    def __init__(self, start: Callable[[], list], probe: Callable[[], bool], strikes: int = STRIKES, again: bool = False):
+        self.start, self.probe, self.again, self.health, self.queries = start, probe, again, StoreHealth(strikes), start()
+
+    @property
+    def paused(self) -> bool:
+        return not self.queries
+
+    def tick(self) -> bool:
+        """Whether the store is available."""
+        ok = self.health.check(self.probe)
+        if not ok and self.queries:
+            stop(self.queries)
+            self.queries = []
+        elif ok and self.paused and self.again:
+            self.resume()
+        return ok
+
+    def resume(self) -> None:
+        if self.paused:
+            self.queries = self.start()
+
+    def watch(self, interval_s: float) -> threading.Event:
+        """Ticks in a thread until the event it returns is set."""
+        over = threading.Event()
+
+        def loop():
+            while not over.wait(interval_s):
+                self.tick()
+
+        threading.Thread(target=loop, daemon=True).start()
+        return over

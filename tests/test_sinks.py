@@ -1,7 +1,7 @@
 import pytest
 
 from partwise.config import DeadLetterSettings
-from partwise.streaming.lifecycle import StoreHealth, Watch, stop
+from partwise.streaming.lifecycle import StoreHealth, Supervisor, Watch, stop
 from partwise.streaming.sinks import BufferFull, DeadLetterSink
 
 
@@ -9,7 +9,7 @@ class Sender:
     def __init__(self):
         self.down, self.sent = False, []
 
-    def __call__(self, letters):
+    def __call__(self, letters, tag):
         if self.down:
             raise OSError("no broker")
         self.sent += [r["key"] for r in letters.collect()]
@@ -36,6 +36,56 @@ def test_letters_are_staged_retried_and_never_lost(spark, tmp_path):
     assert sink.retry(20_000) == 0
 
 
+def test_staged_letters_survive_a_restart_and_a_failing_stage(spark, tmp_path):
+    send, path = Sender(), str(tmp_path / "staged")
+    settings = DeadLetterSettings(initial_backoff_ms=10)
+    send.down = True
+    first = DeadLetterSink(spark, send, path, settings)
+    first.route(letters(spark, 2), 0)
+    first.route(letters(spark, 2, 2), 1000)
+    again = DeadLetterSink(spark, send, path, settings)  # another driver
+    assert again.depth() == 4
+    send.down = False
+
+    def broken(df, kind):
+        raise OSError("no room")
+
+    again._stage = broken
+    with pytest.raises(OSError):
+        again.retry(500)  # two are due and sent, but what is left cannot be staged: nothing is deleted
+    assert again.depth() == 4
+    last = DeadLetterSink(spark, send, path, settings)
+    assert last.retry(500) == 2 and last.depth() == 2 and len(last.parts()) == 1  # sent twice rather than lost
+    assert last.retry(5000) == 2 and last.depth() == 0 and sorted(set(send.sent)) == ["k0", "k1", "k2", "k3"]
+
+
+def test_supervisor_pauses_and_does_not_resume_by_itself():
+    class Query:
+        isActive, status = True, {"isTriggerActive": False, "isDataAvailable": False}
+
+        def stop(self):
+            self.isActive = False
+
+    up, started = [True], []
+
+    def start():
+        started.append([Query()])
+        return started[-1]
+
+    s = Supervisor(start, lambda: up[0])
+    up[0] = False
+    assert s.tick() and s.tick() and not s.tick() and s.paused and not started[0][0].isActive
+    up[0] = True
+    assert s.tick() and s.paused
+    s.resume()
+    assert not s.paused and len(started) == 2
+    s.again, up[0] = True, False
+    for _ in range(3):
+        s.tick()
+    up[0] = True
+    assert s.tick() and not s.paused and len(started) == 3
+
+
 def test_three_strikes():
     health = StoreHealth()
 

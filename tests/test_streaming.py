@@ -41,23 +41,149 @@ def test_stream_restarts_from_its_checkpoint(spark, data, tmp_path):
     shutil.move(next((src / "a.dir").glob("*.parquet")), src / "a.parquet")
     shutil.rmtree(src / "a.dir")
 
-    def once():
+    def go():
         stream = spark.readStream.schema(raw.schema).parquet(str(src))
         for q in pipeline.run(stream, calm_handler, calm, str(tmp_path / "out"), str(tmp_path / "ck")):
             q.awaitTermination(120)
 
-    once()
+    go()
     first = spark.read.parquet(str(tmp_path / "out/rows")).where("disposition = 'PROCESSED'").count()
     raw.where("offset > 80").coalesce(1).write.parquet(f"{src}/b.dir")
     shutil.move(next((src / "b.dir").glob("*.parquet")), src / "b.parquet")
     shutil.rmtree(src / "b.dir")
-    once()
+    go()
     got = spark.read.parquet(str(tmp_path / "out/rows")).where("disposition in ('PROCESSED', 'DLQ')").select("partition", "offset").collect()
     want = pipeline.process(pipeline.parsed(raw)[0], calm_handler, calm).where("disposition in ('PROCESSED', 'DLQ')").select("partition", "offset").collect()
     assert first > 0 and sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert pipeline.snapshot(spark, str(tmp_path / "ck/rows"), "core").count() == 6
-    letters = spark.read.parquet(str(tmp_path / "out/letters"))
-    assert set(letters.columns) == {"key", "value", "topic", "headers", "batch"} and letters.count() == 0
+
+
+def start_at(spark, rows, folder, name):
+    """rows: (partition, offset, second, entity, seq) as one file of raw records in folder."""
+    values = [("k", f'{{"accountId":"{e}","sequenceNumber":{q},"amount":{o},"currency":"USD","type":"{kind}"}}'.encode(), "events", p, o, at, []) for p, o, at, e, q, kind in rows]
+    df = spark.createDataFrame(values, "key string, value binary, topic string, partition int, offset long, at long, headers array<struct<key:string,value:binary>>")
+    df = df.withColumn("timestamp", F.timestamp_seconds("at")).select("key", "value", "topic", "partition", "offset", "timestamp", "headers")
+    df.coalesce(1).write.parquet(f"{folder}/{name}.dir")
+    shutil.move(next((folder / f"{name}.dir").glob("*.parquet")), folder / f"{name}.parquet")
+    shutil.rmtree(folder / f"{name}.dir")
+    return df
+
+
+FINAL = "disposition in ('PROCESSED', 'DUPLICATE', 'LATE_DROPPED', 'REPLACED', 'DLQ')"
+
+
+def once(spark, src, tmp_path, schema, handler, settings, **more):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(src))
+    for q in pipeline.run(stream, handler, settings, str(tmp_path / "out"), str(tmp_path / "ck"), **more):
+        q.awaitTermination(180)
+        yield q
+
+
+def test_a_lagging_partition_loses_nothing(spark, tmp_path):
+    src = tmp_path / "in"
+    schema = start_at(spark, [(0, k, 10_000 + k, "a", k + 1, "CREDIT") for k in range(5)], src, "a").schema
+    start_at(spark, [(0, 5 + k, 14_000 + k, "a", k + 6, "CREDIT") for k in range(5)], src, "b")
+    start_at(spark, [(1, k, 5000 + k, "b", k + 1, "CREDIT") for k in range(5)], src, "c")  # over an hour behind
+    queries = list(once(spark, src, tmp_path, schema, lambda e: ("SUCCESS", 1.0), ConsumerSettings()))
+    dropped = sum(s.numRowsDroppedByWatermark for q in queries for p in q.recentProgress for s in p.stateOperators)
+    got = spark.read.parquet(str(tmp_path / "out/rows")).where(FINAL).select("partition", "offset").collect()
+    assert dropped == 0 and sorted(map(tuple, got)) == [(p, o) for p, n in ((0, 10), (1, 5)) for o in range(n)]
+
+
+def refuser():
+    """A handler that refuses debits; made here, so that workers need not import this module."""
+    from partwise.streaming.machine import PermanentProcessingException
+
+    def handler(event):
+        if '"DEBIT"' in event["payload"]:
+            error = PermanentProcessingException("refused")
+            error.latency_ms = 1.0
+            raise error
+        return "SUCCESS", 1.0
+
+    return handler
+
+
+def test_restart_keeps_open_breaker_and_buffers_and_drain_lets_them_out(spark, tmp_path):
+    src, control = tmp_path / "in", tmp_path / "control"
+    control.mkdir()
+    settings = ConsumerSettings(breaker=BreakerSettings(error_rate_threshold=0.5, cooldown_ms=10**9), reorder=ReorderSettings(timeout_ms=10**9))
+    # Partition 0 opens on its third row and holds the fourth; partition 1 waits for number 2.
+    schema = start_at(spark, [(0, 0, 100, "a", 1, "CREDIT"), (0, 1, 101, "a", 2, "DEBIT"), (0, 2, 102, "a", 3, "CREDIT"), (1, 0, 100, "b", 1, "CREDIT"), (1, 1, 101, "b", 3, "DEBIT")], src, "a").schema
+
+    def go(**more):
+        list(once(spark, src, tmp_path, schema, refuser(), settings, control=str(control), **more))
+        return spark.read.parquet(str(tmp_path / "out/rows"))
+
+    go()
+    found = {r["partition"]: r for r in pipeline.gauges(spark, str(tmp_path / "ck/rows")).collect()}
+    assert (found[0]["circuit_state"], found[1]["circuit_state"]) == (1, 0) and found[1]["buffer_depth"] == 1 and found[1]["store_size"] == 1
+    start_at(spark, [(0, 3, 103, "a", 4, "CREDIT"), (1, 2, 102, "b", 4, "CREDIT")], src, "b")
+    rows = go()
+    assert {(r["partition"], r["offset"]) for r in rows.where("disposition = 'HELD'").collect()} == {(0, 2), (0, 3)}
+    assert pipeline.snapshot(spark, str(tmp_path / "ck/rows"), "buffer", 1).count() == 2 and pipeline.snapshot(spark, str(tmp_path / "ck/rows"), "buffer", 0).count() == 0
+    pipeline.command(spark, str(control), "SNAPSHOT", [("events", 1)])
+    state = go().where("disposition = 'SNAPSHOT'").first()["detail"]
+    pipeline.command(spark, str(control), "FLUSH", [("events", 0), ("events", 1)])
+    sent = []
+    rows = go(send=lambda df, tag: sent.extend((r["topic"], bytes(r["value"])) for r in df.collect()))
+    final = rows.where(FINAL).select("partition", "offset", "disposition").collect()
+    assert sorted((r["partition"], r["offset"]) for r in final) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2)]  # one final row each
+    assert len(sent) == 1 and b'"DEBIT"' in sent[0][1]  # a released event's letter keeps its payload
+    letters = spark.read.parquet(str(tmp_path / "out/letters"))  # the letter of the first run, in its topic's folder
+    assert set(letters.columns) == {"key", "value", "topic", "headers", "batch"} and [r["topic"] for r in letters.collect()] == ["dlq.unclassified"]
+    # Another machine goes on from the snapshot: numbers 3 and 4 come out when 2 comes.
+    other = m.Machine(m.Store(), lambda e: ("SUCCESS", 1.0), settings, 1)
+    other.command("RESTORE", state)
+    other.event({"topic": "events", "offset": 9, "source_entity": "b", "sequence_number": 2, "payload": "{}", "at": 103_000})
+    assert [r["sequence_number"] for r in other.rows] == [2, 3, 4]
+    other.command("CLEAR")
+    other.event({"topic": "events", "offset": 10, "source_entity": "b", "sequence_number": 1, "payload": "{}", "at": 104_000})
+    assert other.rows[-1]["disposition"] == "DUPLICATE" and other.rows[-1]["release_reason"] == "FIRST"  # buffers are gone, keys stay
+
+
+def test_a_stream_starts_from_a_snapshot(spark, tmp_path):
+    src = tmp_path / "in"
+    old = m.Machine(m.Store(), lambda e: ("SUCCESS", 1.0), ConsumerSettings(), 0)
+    for offset, seq in ((0, 1), (1, 3)):
+        old.event({"topic": "events", "offset": offset, "source_entity": "a", "sequence_number": seq, "payload": "{}", "at": 1_000_000 + offset})
+    schema = start_at(spark, [(0, 2, 1001, "a", 2, "CREDIT")], src, "a").schema
+    initial = spark.createDataFrame([("events", 0, old.snapshot())], "topic string, partition int, state string")
+    list(once(spark, src, tmp_path, schema, lambda e: ("SUCCESS", 1.0), ConsumerSettings(), initial=initial))
+    got = spark.read.parquet(str(tmp_path / "out/rows")).where(FINAL).orderBy("sequence_number").select("sequence_number", "release_reason").collect()
+    assert list(map(tuple, got)) == [(2, "IN_ORDER"), (3, "CONSECUTIVE")]
+
+
+def test_timers_and_drain_of_a_running_stream(spark, tmp_path):
+    import time
+    import urllib.request
+
+    from partwise.streaming.lifecycle import stop
+    from partwise.streaming.metrics import Metrics
+
+    src, control, metrics = tmp_path / "in", tmp_path / "control", Metrics()
+    control.mkdir()
+    schema = start_at(spark, [(0, 0, 100, "a", 1, "CREDIT"), (0, 1, 100, "a", 3, "CREDIT"), (1, 0, 100, "b", 1, "DEBIT")], src, "a").schema
+    settings = ConsumerSettings(reorder=ReorderSettings(timeout_ms=500))
+    stream = spark.readStream.schema(schema).parquet(str(src))
+    queries = pipeline.run(stream, refuser(), settings, str(tmp_path / "out"), str(tmp_path / "ck"), available_now=False, control=str(control), metrics=metrics)
+    rows = lambda: spark.read.parquet(str(tmp_path / "out/rows"))
+    for _ in range(200):
+        if (tmp_path / "out/rows").exists() and rows().where("release_reason = 'TIMEOUT'").count():
+            break
+        time.sleep(0.3)
+    assert [r["detail"] for r in rows().where("disposition = 'GAP'").collect()] == ["2-2"]  # no further row was needed
+    server = metrics.serve()
+    page = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/metrics").read().decode()
+    server.shutdown()
+    assert 'events_processed_total{topic="events",partition="0"} 2' in page and 'circuit_breaker_state{topic="events",partition="1"} 1' in page
+    assert 'dlq_routed_total{topic="events",partition="1",classification="PERMANENT"} 1' in page and 'from="CLOSED",to="OPEN"' in page
+    start_at(spark, [(0, 2, 101, "a", 9, "CREDIT"), (1, 1, 101, "b", 2, "CREDIT")], src, "b")
+    assert stop(queries, 120, lambda: pipeline.command(spark, str(control), "FLUSH", [("events", 0), ("events", 1)]))
+    final = rows().where(FINAL).select("partition", "offset").collect()
+    assert sorted(map(tuple, final)) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)] and not any(q.isActive for q in queries)
+    metrics.unregister("events", 0)
+    assert 'partition="0"' not in metrics.render()
 
 
 def test_generators_check_their_arguments(spark):
