@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 ROUNDS = 40
 
@@ -13,10 +13,12 @@ ROUNDS = 40
 def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """edges: a, b (long; loops allowed). Returns node, component for every node of an edge; component is the least node.
 
-    Each round is two shuffles of the edges and is written to the shared folder. A hub's edges are never gathered: only the
+    Nulls are no nodes: an edge with one is left out. Each round is two shuffles of the edges and is written to the shared
+    folder, from which the round before is deleted. A hub's edges are never gathered: only the
     least neighbour of each node is found, which sums up before the shuffle, and is joined back to its edges, a join that
     Spark may split where a node is hot. The number of rounds is about the logarithm of the longest path.
     """
+    edges = edges.where("a is not null and b is not null")
     graph = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     last = None
@@ -29,7 +31,9 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         # Small star: every smaller neighbour of u, and u, are tied to the least of them.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        graph = written(small.where("u != v").distinct(), "components")
+        before, graph = graph, written(small.where("u != v").distinct(), "components")
+        discard(before)
+        discard(large)
         state = graph.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == last:
             break

@@ -11,8 +11,11 @@ FALLBACK = "/tmp/partwise-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or FALLBACK where that is unset (tests on one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK}").rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, FALLBACK if all runs on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{FALLBACK}").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -20,7 +23,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that written() made; nothing may read it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,26 +4,35 @@ Two documents link when 100 * |A and B| >= PERCENT * |A or B| for their sets of
 
 1. Each text is turned into the hashes of its shingles. Documents with equal sets are one vertex from then on (a group of
    copies of any size is folded before it is shuffled).
-2. A global order of tokens puts common ones last: those found often in some partition are counted everywhere and the
+2. Near copies are tied to verified representatives: vertices that share a min-hash form stars around the least of them, in
+   slices of FOLD members that each get the representative's text, and every member is compared with it exactly. What is
+   verified goes on as one star; the representatives meet again by the next of the KEYS min-hashes. A star is a set of
+   vertices known to be in one component. It saves comparisons and never replaces one: members stay in the search below.
+3. A global order of tokens puts common ones last: those found often in some partition are counted everywhere and the
    ORDERED most common ones, a bounded table, are ranked; all others go by hash. Any fixed order is exact; this one keeps
    shared passages out of what is compared.
-3. Linked sets share k of their first n - ceil(0.8 n) + k tokens of the order (the prefix filter, k being 1 + MORE percent
+4. Linked sets share k of their first n - ceil(0.8 n) + k tokens of the order (the prefix filter, k being 1 + MORE percent
    of the smaller set), so only these are dealt out. Of tokens that at most FEW vertices have, the pairs are counted; pairs
    that cannot come to k, even if they shared all common tokens that either has, are no candidates. Vertices that have k or
-   more common tokens, and so may link by these alone, are tied by each of them in chains by size. The connected components of both (candidate groups) hold every link.
-4. A group of over BLOCK words is split by size, then by hash, into blocks of about BLOCK words, and each pair of blocks
-   whose sizes can link is one task. In it, sets are leaves of signature trees: a node has the OR of its leaves' token bitmaps, its
-   size range and its slack (the most tokens of a leaf that bits hide). Two trees are traversed together: a pair of nodes
-   is pruned when its sizes cannot link, when common bits + slack, the most overlap possible, is too little, or when all of
-   its leaves are in one component already. Leaf pairs left over are compared exactly.
-5. The links kept are a forest (at most one per vertex and block pair); their components are the result.
-
-Exact copies are folded, linked leaves are skipped, and a chain has one edge per member, so a group of near copies costs about
-its size within a block. A group of many blocks costs their pairs.
+   more common tokens, and so may link by these alone, are tied by each of them in chains by size. The connected components
+   of the ties between different stars (candidate groups) hold every link between different stars.
+5. A group is split into parts of FOLD members or more, SPREAD of them, and more once these would come to over BLOCK words:
+   stars of FOLD members or more are units of their own, the rest is split by size (if over BLOCK words), then by hash; a star's
+   parts are about as large as the rest that they are held against. Each pair of
+   blocks whose sizes can link is one task, but for pairs within a star. In it, sets are leaves of signature trees: a node
+   has the OR of its leaves' token bitmaps, its size range and its slack (the most tokens of a leaf that bits hide). Two
+   trees are traversed together: a pair of nodes is pruned when its sizes cannot link, when common bits + slack, the most
+   overlap possible, is too little, or when all of its leaves are in one component already. Leaf pairs left over are compared
+   exactly.
+6. The links kept are a forest (at most one per vertex and block pair); the components of the stars by them are the result.
+
+So a group of near copies, whatever its size, costs about its own size, in slices. Vertices of a group that no star takes up
+cost the pairs of their blocks.
 
 Defined cases: null or empty text and texts of blanks: no shingles, component of its own. Fewer than SHINGLE words: the
-whole sequence is the one shingle. Repeated rows and equal ids each get a row; rows of one id are one vertex. A row without an
-id has the component of documents with an equal set, else none (null). Other columns are ignored.
+whole sequence is the one shingle. Repeated rows each get a row. Where ids are null or repeat, every row is a document of its
+own: the component is the least id in it, null where it has none, and rows without words have their own id. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +50,7 @@ SHINGLE, PERCENT = 5, 80
 MORE, FEW = 10, 8
 ORDERED, LOCAL_LEAST, COMMON, HELD = 1 << 17, 2, 6, 1 << 22
 BLOCK = 2_000_000
+FOLD, FOLD_WORDS, SPREAD, KEYS = 256, 500_000, 8, ("low1", "low2", "high1")
 FAN, BITS_PER_TOKEN, MOST_BITS = 16, 4, 1 << 16
 TOP = np.uint64(1 << 63)
 
@@ -118,15 +128,20 @@ class Order:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit fingerprint of the set."""
+    """vertex, n_shingles, a 128-bit fingerprint of the set, and KEYS: the least and the largest of its tokens' hashes."""
+    none = np.zeros(1, np.uint64)
 
     def each(batches):
         for b in batches:
-            rows = [(len(s), K.mix(s ^ K.GOLD).sum(dtype=np.uint64), K.mix(s ^ K.C1).sum(dtype=np.uint64)) for s in shingle_sets(b.column(1))]
-            n, one, two = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(K.signed(np.array(x, np.uint64))) for x in (one, two))], ["doc_id", "n_shingles", "one", "two"])
+            rows = []
+            for s in shingle_sets(b.column(1)):
+                one, two = K.mix(s ^ K.GOLD), K.mix(s ^ K.C1)
+                x, y = (one, two) if len(s) else (none, none)
+                rows.append((len(s), one.sum(dtype=np.uint64), two.sum(dtype=np.uint64), x.min(), y.min(), x.max()))
+            n, *others = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(K.signed(np.array(x, np.uint64))) for x in others)], ["vertex", "n_shingles", "one", "two", *KEYS])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, n_shingles long, one long, two long")
+    return documents.select("vertex", "text").mapInArrow(each, "vertex long, n_shingles long, one long, two long, " + ", ".join(f"{k} long" for k in KEYS))
 
 
 def _prefixes(batches, order: Order, buckets: int):
@@ -301,11 +316,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None):
-    """A spanning forest of the links within left (right: None), or of those between left and right."""
+def links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, stars: dict[int, int] | None = None):
+    """A spanning forest of the links within left (right: None), or of those between left and right; stars: by vertex what
+    is known to be in one component."""
     ids = list(dict.fromkeys(v for v, _ in left + (right or [])))
     number = {v: k for k, v in enumerate(ids)}
-    forest, found = Forest(len(ids)), []
+    forest, found, centre = Forest(len(ids)), [], {}
+    for v, star in (stars or {}).items():
+        forest.join(centre.setdefault(star, number[v]), number[v])
     sizes = [len(s) for _, s in left + (right or [])]
     if not sizes:
         return found
@@ -358,43 +376,94 @@ def _compared(table: pa.Table) -> pa.Table:
     sets = list(shingle_sets(table.column("text")))
     left = [(v, s) for v, s, k in zip(vertices, sets, sides, strict=True) if k == 0]
     right = [(v, s) for v, s, k in zip(vertices, sets, sides, strict=True) if k == 1]
-    pairs = links(left, right if right else None)
+    pairs = links(left, right if right else None, dict(zip(vertices, table.column("star").to_pylist(), strict=True)))
     return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _blocks(sized: DataFrame, block: int) -> DataFrame:
-    """Adds cls and part: a group of up to block words is one block; larger ones are split by size, then by hash."""
-    total = sized.groupBy("grp").agg(F.sum("n_shingles").alias("__total"))
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
-    classed = sized.join(total, "grp").withColumn("cls", F.when(F.col("__total") <= block, F.lit(0)).otherwise(step)).drop("__total")
-    words = classed.groupBy("grp", "cls").agg(F.sum("n_shingles").alias("__words"))
-    parts = F.ceil(F.col("__words") / block).cast("long")
-    return classed.join(words, ["grp", "cls"]).withColumn("part", F.pmod(F.xxhash64("vertex"), parts).cast("int")).drop("__words")
-
-
-def _uses(blocked: DataFrame) -> DataFrame:
-    """The pairs of blocks whose sizes can link, a row for each block that a pair uses."""
-    ranges = blocked.groupBy("grp", "cls", "part").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    one = ranges.select("grp", F.struct("cls", "part").alias("first"), "low", "high")
-    two = ranges.select("grp", F.struct("cls", "part").alias("second"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    fit = (F.col("second") >= F.col("first")) & (100 * F.col("high") >= PERCENT * F.col("low2")) & (100 * F.col("high2") >= PERCENT * F.col("low"))
-    pairs = one.join(two, "grp").where(fit).select("grp", "first", "second")
+def _verified(table: pa.Table) -> pa.Table:
+    """The members of a slice of a star that link with its representative."""
+    centre, vertices = table.column("rep")[0].as_py(), table.column("vertex").to_pylist()
+    sets = dict(zip(vertices, shingle_sets(table.column("text")), strict=True))
+    found = [v for v, s in sets.items() if v != centre and linked(s, sets[centre])]
+    return pa.table({"vertex": pa.array(found, pa.int64()), "rep": pa.array([centre] * len(found), pa.int64())})
+
+
+def stars(texts: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vertex, star for every vertex: the verified representative that it hangs on, itself for most."""
+    known = vertices.select("vertex", F.col("vertex").alias("star"))
+    left = vertices.select("vertex", "n_shingles", *KEYS)
+    for key in KEYS:
+        slices = F.ceil(F.greatest(F.count("*") / FOLD, F.sum("n_shingles") / FOLD_WORDS)).cast("long")
+        hubs = left.groupBy(key).agg(F.min("vertex").alias("rep"), F.count("*").alias("n"), slices.alias("slices")).where("n > 1")
+        members = left.join(beside(written(hubs, "jaccard")), key).select("vertex", "rep", "slices")
+        own = F.when(F.col("vertex") == F.col("rep"), F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vertex"), "slices")))
+        dealt = written(members.select("vertex", "rep", F.explode(own).alias("slice")), "jaccard")
+        folds = dealt.join(texts, "vertex") if dealt.limit(1_000_001).count() > 1_000_000 else texts.join(F.broadcast(dealt), "vertex")
+        folds = written(folds.select("rep", "slice", "vertex", "text").groupBy("rep", "slice").applyInArrow(_verified, "vertex long, rep long"), "jaccard")
+        side = beside(folds)
+        left = written(left.join(side, "vertex", "left_anti"), "jaccard")
+        hang = beside(folds.select(F.col("vertex").alias("star"), "rep"))
+        known = written(known.join(hang, "star", "left").select("vertex", F.coalesce("rep", "star").alias("star")), "jaccard")
+    return known
+
+
+def _units(sized: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(the vertices with unit and part, the units). A unit is a star of FOLD members or more in a group of over block words
+    or FOLD vertices, or the rest of a group, by size in a group of over block words; a part is what a task reads of it."""
+    by_star = written(sized.groupBy("grp", "star").agg(F.count("*").alias("__members"), F.sum("n_shingles").alias("__star_words")), "jaccard")
+    rest = F.col("__members") < FOLD
+    total = by_star.groupBy("grp").agg(F.sum("__members").alias("__rows"), F.sum("__star_words").alias("__total"), F.sum(F.when(rest, F.col("__star_words")).otherwise(0)).alias("__rest"), F.sum(F.when(rest, F.col("__members")).otherwise(0)).alias("__rest_rows"))
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("string")
+    split, pure = F.col("__total") > block, (F.col("__members") >= FOLD) & ((F.col("__rows") > 2 * FOLD) | (F.col("__total") > block))
+    unit = F.when(pure, F.concat(F.lit("star "), F.col("star").cast("string"))).when(split, F.concat(F.lit("size "), step)).otherwise(F.lit("all"))
+    placed = sized.join(beside(by_star), ["grp", "star"]).join(beside(total), "grp").withColumns({"unit": unit, "__pure": pure})
+    # FOLD members at least to a part, then SPREAD parts to a unit, until these come to block words.
+    slice_of = lambda words, rows: F.least(F.lit(block), F.greatest(F.max(words * FOLD / F.greatest(rows, F.lit(1))), F.max(words) / SPREAD))
+    own, others = slice_of(F.col("__star_words"), F.col("__members")), slice_of(F.col("__rest"), F.col("__rest_rows"))
+    words = F.sum("n_shingles")
+    units = placed.groupBy("grp", "unit").agg(
+        F.min("n_shingles").alias("low"),
+        F.max("n_shingles").alias("high"),
+        (F.min("star") == F.max("star")).alias("settled"),
+        F.greatest(F.ceil(words / F.when(F.first("__pure"), F.greatest(F.least(F.max("__rest"), F.lit(block)), own)).otherwise(F.greatest(others, F.lit(1)))), F.lit(1)).cast("int").alias("parts"),
+    )
+    units = written(units, "jaccard")
+    blocked = placed.join(beside(units.select("grp", "unit", "parts")), ["grp", "unit"]).select("vertex", "star", "grp", "unit", F.pmod(F.xxhash64("vertex"), "parts").cast("int").alias("part"))
+    return blocked, units
+
+
+def _uses(units: DataFrame) -> DataFrame:
+    """The pairs of parts whose sizes can link and that are not within one star, a row for each part that a pair uses."""
+    one = units.select("grp", F.col("unit").alias("u"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("parts").alias("p"), "settled")
+    two = units.select("grp", F.col("unit").alias("v"), "low", "high", F.col("parts").alias("q"))
+    fit = (F.col("v") >= F.col("u")) & (100 * F.col("h") >= PERCENT * F.col("low")) & (100 * F.col("high") >= PERCENT * F.col("l")) & ~((F.col("u") == F.col("v")) & F.col("settled"))
+    pairs = one.join(two, "grp").where(fit).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
+    pairs = pairs.withColumn("k", F.explode(F.sequence(F.when(F.col("u") == F.col("v"), F.col("i")).otherwise(0), F.col("q") - 1)))
+    first, second = F.struct(F.col("u").alias("unit"), F.col("i").alias("part")), F.struct(F.col("v").alias("unit"), F.col("k").alias("part"))
+    pairs = pairs.select("grp", first.alias("first"), second.alias("second"))
     ends = F.when(F.col("first") == F.col("second"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
     used = pairs.select("grp", "first", "second", F.explode(ends).alias("side"))
     return used.withColumn("block", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second"))).select("grp", "first", "second", "side", "block.*")
 
 
-def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
-    spark = documents.sparkSession
-    ids = documents.select(F.col("doc_id").cast("long").alias("vertex"), "text")
-    prints = written(fingerprints(documents), "jaccard")
-    # One vertex for each distinct set: its least id. The others are left out before anything is dealt.
-    vertices = prints.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("vertex"), F.first("n_shingles").alias("n_shingles"))
-    vertices = written(vertices.where("vertex is not null"), "jaccard")
-    copies = prints.join(vertices.select("one", "two", "vertex"), ["one", "two"]).where("doc_id != vertex").select(F.col("doc_id").alias("vertex")).distinct()
-    copies = written(copies.join(vertices.select("vertex"), "vertex", "left_anti"), "jaccard")
-    original = ids.where("vertex is not null").join(beside(copies), "vertex", "left_anti")
+def _between(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges of vertices as edges of their stars, without those within one."""
+    moved = known.where("vertex != star")
+    for end in ("a", "b"):
+        side = beside(moved.select(F.col("vertex").alias(end), F.col("star").alias("__star")))
+        edges = edges.join(side, end, "left").withColumn(end, F.coalesce("__star", end)).drop("__star")
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _classes(texts: DataFrame, block: int) -> DataFrame:
+    """vertex, n_shingles, component (the least vertex) for every row of vertex (unique), text."""
+    spark = texts.sparkSession
+    prints = written(fingerprints(texts), "jaccard")
+    # One vertex for each distinct set: the least. The others are left out before anything is dealt.
+    vertices = written(prints.where("n_shingles > 0").groupBy("one", "two").agg(F.min("vertex").alias("vertex"), *(F.first(c).alias(c) for c in ("n_shingles", *KEYS))), "jaccard")
+    copies = written(prints.join(vertices.select("one", "two", F.col("vertex").alias("__least")), ["one", "two"]).where("vertex != __least").select("vertex"), "jaccard")
+    original = texts.join(beside(copies), "vertex", "left_anti").select("vertex", "text")
+    known = stars(original, vertices)
     n_tokens = vertices.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - PERCENT + MORE) // 100
     buckets, order = int(max(parallelism(spark), n_tokens // 1_000_000)), Order(common_tokens(original))
     dealt = original.mapInArrow(lambda b: _prefixes(b, order, buckets), "bucket long, tokens binary, vertices binary, sizes binary")
@@ -409,25 +478,47 @@ def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     voted = written(packed.groupBy("home").applyInArrow(votes, VOTES), "jaccard")
     pairs = voted.where("bucket is null").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
     ties = pairs.unionByName(voted.where("bucket is not null").drop("a", "b").groupBy("bucket").applyInArrow(_chained, "a long, b long"))
-    groups = components(written(ties, "jaccard")).withColumnsRenamed({"node": "vertex", "component": "grp"})
-    sized = written(groups.join(vertices.select("vertex", "n_shingles"), "vertex"), "jaccard")
-    blocked = written(_blocks(sized, block), "jaccard")
-    texts = ids.join(beside(blocked), "vertex")
-    tasks = texts.join(beside(_uses(blocked)), ["grp", "cls", "part"]).select("grp", "first", "second", "side", "vertex", "text")
+    groups = components(written(_between(ties, known), "jaccard")).select(F.col("node").alias("star"), F.col("component").alias("grp"))
+    sized = written(known.join(beside(groups), "star").join(vertices.select("vertex", "n_shingles"), "vertex"), "jaccard")
+    blocked, units = _units(sized, block)
+    uses = written(_uses(units), "jaccard")
+    needed = written(blocked.join(beside(uses.select("grp", "unit", "part").distinct()), ["grp", "unit", "part"], "left_semi"), "jaccard")
+    tasks = original.join(beside(needed), "vertex").join(beside(uses), ["grp", "unit", "part"]).select("grp", "first", "second", "side", "vertex", "star", "text")
     found = written(tasks.groupBy("grp", "first", "second").applyInArrow(_compared, "a long, b long"), "jaccard")
-    merged = components(found)
-    by_set = vertices.select("one", "two", "vertex").join(merged, F.col("vertex") == F.col("node"), "left").select("one", "two", F.coalesce("component", "vertex").alias("component_id"))
-    rows = prints.join(by_set, ["one", "two"], "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    merged = components(written(_between(found, known), "jaccard")).select(F.col("node").alias("star"), "component")
+    # A representative is the least of all that hang on it, so the least star of a component is its least vertex.
+    joined = known.join(beside(merged), "star", "left").select("vertex", F.coalesce("component", "star").alias("component"))
+    by_set = vertices.select("one", "two", "vertex").join(joined, "vertex").select("one", "two", "component")
+    return prints.join(by_set, ["one", "two"], "left").select("vertex", "n_shingles", F.coalesce("component", "vertex").alias("component"))
+
+
+def _keyed(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """(documents with a column vertex that tells rows apart, whether it is doc_id)."""
+    ids = documents.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return documents.withColumn("vertex", F.col("doc_id").cast("long")), True
+    slim = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(slim.withColumn("vertex", F.monotonically_increasing_id()), "jaccard"), False
+
+
+def jaccard_components(documents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    rows, plain = _keyed(documents.select("doc_id", "text"))
+    classes = _classes(rows.select("vertex", "text"), block)
+    if plain:
+        return classes.select(F.col("vertex").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    named = written(classes, "jaccard").join(rows.select("vertex", "doc_id"), "vertex")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "component").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that have the least id of their component; repeated rows of an id leave one.
-    Rows without an id cannot be told apart by it and stay."""
-    links = written(jaccard_components(documents), "jaccard")
-    gone = written(links.where("doc_id != component_id").select("doc_id").distinct(), "jaccard")
-    kept = documents.join(beside(gone), "doc_id", "left_anti").select(documents.columns)
-    ids = links.where("doc_id is not null")
-    if ids.count() == ids.select("doc_id").distinct().count():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each component, with all its columns: that of the least id (without an id, last)."""
+    rows, plain = _keyed(documents)
+    classes = written(_classes(rows.select("vertex", "text"), BLOCK), "jaccard")
+    if plain:
+        gone = written(classes.where("vertex != component").select(F.col("vertex").alias("__gone")), "jaccard")
+        return documents.join(beside(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    named = classes.join(rows.select("vertex", "doc_id"), "vertex")
+    kept = named.groupBy("component").agg(F.min_by("vertex", F.struct(F.col("doc_id").isNull(), "doc_id", "vertex")).alias("vertex"))
+    return rows.join(written(kept.select("vertex"), "jaccard"), "vertex", "left_semi").select(*(F.col("row")[c].alias(c) for c in documents.columns))

@@ -66,6 +66,24 @@ def test_join_of_odd_rows(docs):
     assert J.jaccard_components(docs([])).count() == 0
     kept = J.one_of_each_group(docs([(5, text), (5, text), (9, text), (None, "other"), (7, None)], clash=True))
     assert sorted((r["doc_id"] or -1 for r in kept.collect())) == [-1, 5, 7] and "vertex" in kept.columns
+    # One id with unlike texts is two documents; rows without an id go too if they are copies.
+    kept = J.one_of_each_group(docs([(5, text), (5, "all other words here for once"), (None, text), (None, "z")]))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("5", text), ("5", "all other words here for once"), ("None", "z")])
+
+
+def test_a_hot_group_is_read_in_slices(docs, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    pairs = []
+    for i in range(400):  # near copies of one text, a chain away from it, and texts that share a passage
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(60)] = f"x{rng.randint(0, 999)}"
+        pairs.append((i, " ".join(w)))
+    pairs += [(1000 + i, " ".join(base[:20] + [f"u{i}v{k}" for k in range(rng.randint(1, 60))])) for i in range(60)]
+    monkeypatch.setattr(J, "FOLD", 16)
+    got = sorted(tuple(r) for r in J.jaccard_components(docs(pairs), 900).collect())
+    assert got == brute_components(pairs)
 
 
 def test_trees_find_what_all_pairs_find():
