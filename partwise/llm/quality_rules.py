@@ -5,8 +5,10 @@ A line with a word fails if one of these holds for its words [^\\x20\\x09-\\x0D]
 
 * punctuation: more than SYMBOL_PERCENT of its word characters are symbols #*$%&|<>, or it has more than one "!!" for
   every four words;
-* navigation: at least NAV_BARS separators "|" and no more than four words for each;
-* boilerplate: it has one of BOILERPLATE, in either case.
+* navigation: at least NAV_BARS separators (SEPARATORS) and no more than four words for each;
+* boilerplate: it has one of BOILERPLATE (in four languages), in either case, at the beginning of a word;
+* ending: it breaks off with an ellipsis after at most TEASER words, as teasers do. Lines that just lack a full stop are
+  left alone: headings, list items and verse do.
 
 A document is kept if it passes the base rules (at least MIN_WORDS words; at most half of its words in repeated 3-word
 windows) and the failed lines have at most LOST_PERCENT of its words.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 INDEX_BITS = 21
-SYMBOL_PERCENT, NAV_BARS, LOST_PERCENT = 10, 3, 50
+SYMBOL_PERCENT, NAV_BARS, LOST_PERCENT, TEASER = 10, 3, 50, 12
+SEPARATORS = "[|·•»›→]"
+ELLIPSIS = r"(\.\.\.|…)[\x20\x09-\x0D]*$"
 # Phrases of lines that are not part of an article.
 BOILERPLATE = (
     "all rights reserved",
@@ -42,7 +46,20 @@ BOILERPLATE = (
     "log in to",
     "sign up for",
     "lorem ipsum",
+    "alle rechte vorbehalten",
+    "datenschutzerkl",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "newsletter abonnieren",
+    "hier klicken",
+    "tous droits r",
+    "accepter les cookies",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "aceptar cookies",
+    "haga clic aqu",
 )
+PHRASES = "(?i)(?:^|[^A-Za-z])(?:" + "|".join(BOILERPLATE) + ")"
 
 
 def _words(text: Column) -> Column:
@@ -102,12 +119,13 @@ def _line_fails(line: Column) -> Column:
     symbols = F.length(F.regexp_replace(line, "[^#*$%&|<>]+", ""))
     gaps = F.size(F.split(F.trim(line), BLANKS))
     bangs = F.size(F.split(line, "!!")) - 1
-    bars = F.size(F.split(line, r"\|")) - 1
+    bars = F.size(F.split(line, SEPARATORS)) - 1
     return (
         (symbols * 100 > solid * SYMBOL_PERCENT)
         | (bangs * 4 > gaps)
         | ((bars >= NAV_BARS) & (gaps <= 4 * bars))
-        | line.rlike("(?i)" + "|".join(BOILERPLATE))
+        | ((gaps <= TEASER) & line.rlike(ELLIPSIS))
+        | line.rlike(PHRASES)
     )
 
 

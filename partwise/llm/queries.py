@@ -78,8 +78,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 FAILS = f"""(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) * 100 > length(regexp_replace(x, '{BLANKS}', '', 'g')) * {rules.SYMBOL_PERCENT}
     OR (len(string_split(x, '!!')) - 1) * 4 > len(string_split_regex(trim(x), '{BLANKS}'))
-    OR (len(string_split(x, '|')) - 1 >= {rules.NAV_BARS} AND len(string_split_regex(trim(x), '{BLANKS}')) <= 4 * (len(string_split(x, '|')) - 1))
-    OR regexp_matches(x, '(?i){"|".join(rules.BOILERPLATE)}'))"""
+    OR (len(string_split_regex(x, '{rules.SEPARATORS}')) - 1 >= {rules.NAV_BARS} AND len(string_split_regex(trim(x), '{BLANKS}')) <= 4 * (len(string_split_regex(x, '{rules.SEPARATORS}')) - 1))
+    OR (len(string_split_regex(trim(x), '{BLANKS}')) <= {rules.TEASER} AND regexp_matches(x, '{rules.ELLIPSIS}'))
+    OR regexp_matches(x, '{rules.PHRASES}'))"""
 
 ORACLES: dict[str, str] = {
     "op2_signature_tree_join": f"""

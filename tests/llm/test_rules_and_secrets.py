@@ -63,6 +63,14 @@ def test_lines_decide(docs):
     assert Q.quality_rules(docs([])).count() == 0
 
 
+def test_lines_of_other_languages_and_separators(docs):
+    bad = ["Start · Über uns · Kontakt · Impressum", "Accueil » Blog › Article → Page", "Alle Rechte vorbehalten.", "Tous droits réservés", "(Todos los derechos reservados)", "The minister said that…", "More about this ... "]
+    good = ["A heading without a stop", "- item one", "Well, ... he said, and went.", "Overall rights reservedly held."]
+    text = "\n".join([prose(200), *bad, *good])
+    got = Q.filter_documents(docs([(1, text)]), clean=True).first()["text"].split("\n")
+    assert got == [prose(200), *good]
+
+
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
