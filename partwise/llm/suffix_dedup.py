@@ -9,8 +9,10 @@ depth, with hashes of equal length as names:
    sampled starts, BLOCK = MATCH - MODULUS + 1. The sampled blocks are named, dealt out by name and sorted; those of a name
    of their own are done with.
 2. Recurse on the names. A sampled start left over is named again by its block and all that may stand around it in a
-   matching string (MODULUS - 1 bytes on either side), and sorted by (name, second name, place). All but the first place of
-   a second name are repeats, with all strings through their block. Where a name has one second name only, nothing is left.
+   matching string (MODULUS - 1 bytes on either side), dealt out by (name, second name), so that a block that stands
+   everywhere in ever other surroundings is spread too, and sorted by (name, second name, place). All but the first place of
+   a second name are repeats, with all strings through their block. How many second names a name has is summed up over the
+   buckets, an entry a bucket; where it has one only, nothing is left.
 3. Merge the rest. Starts near the sampled ones of names with several second names, not yet known as repeats, are those
    whose strings end where texts part. They are named by their whole MATCH bytes and sorted by (name, place): equal ones
    stand side by side, and all but the first are repeats.
@@ -20,6 +22,8 @@ equal names are folded before they are dealt, so a string that is everywhere cos
 aside first: all but the first of a class go, whatever the size of the class.
 
 Names are 64-bit hashes, joined to those of the bucket and of the level above; a false match needs all of them to collide.
+Two parts of the method are replaced, as the depth is bounded: names are hashes, not ranks (only equality is asked, so equal
+blocks need a common name, not an order), and comparing neighbours means comparing names that sorting has put side by side.
 
 Defined cases: null or empty text: nothing removed. Documents of under MATCH bytes keep all. Repeated rows with the same id
 and text are the same document and get equal rows. Rows without an id come before all others, and rows of one id with unlike
@@ -45,6 +49,7 @@ BLOCK, AROUND = MATCH - MODULUS + 1, MODULUS - 1
 SLICE, BUCKET_ENTRIES, SMALL_BYTES = 6 << 20, 1_500_000, 48 << 20
 DEALT = "bucket long, rids binary, counts binary, places binary, names binary, seconds binary, known binary"
 ROUTED = "home long, kind int, rids binary, counts binary, places binary"
+LEVEL = ROUTED + ", names binary"
 
 
 # ---- places: (rid, pos) in order of rows, positions ascending in each row
@@ -68,17 +73,17 @@ def _unpack(rids: bytes, counts: bytes, planes: bytes) -> tuple[np.ndarray, np.n
     return np.repeat(rid, count), total - np.repeat(total[starts] - step[starts], count)
 
 
-def _deal(buckets: int, rid, pos, names, seconds, known) -> pa.RecordBatch:
-    """Entries by bucket of their name (the first of names decides; names dealt: its upper half)."""
-    where = (names % np.uint64(buckets)).astype(np.int64)
+def _deal(buckets: int, rid, pos, names, seconds, known, by_pair: bool = False) -> pa.RecordBatch:
+    """Entries by bucket of their name (its upper half is dealt), or of name and second name (all of it is)."""
+    where = ((K.mix(names * K.STEP ^ seconds) if by_pair else names) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
     edge = np.searchsorted(where[order], np.arange(buckets + 1))
     rows = []
     for k in np.flatnonzero(np.diff(edge)).tolist():
         at = order[edge[k] : edge[k + 1]]
         a, b, c = _pack(rid[at], pos[at])
-        upper = (names[at] >> np.uint64(32)).astype("<u4")
-        rows.append((k, a, b, c, upper.tobytes(), seconds[at].astype("<u8").tobytes() if seconds is not None else b"", known[at].astype(np.uint8).tobytes() if known is not None else b""))
+        dealt = names[at].astype("<u8") if by_pair else (names[at] >> np.uint64(32)).astype("<u4")
+        rows.append((k, a, b, c, dealt.tobytes(), seconds[at].astype("<u8").tobytes() if seconds is not None else b"", known[at].astype(np.uint8).tobytes() if known is not None else b""))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     kinds = (pa.int64(), *[pa.binary()] * 6)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], DEALT.replace(" long", "").replace(" binary", "").split(", "))
@@ -253,12 +258,12 @@ def _second(batches, buckets: int):
         order, new, _ = _folded((names, seconds), rid[row], pos)
         known = np.zeros(len(row), dtype=np.uint8)
         known[order[~new]] = 1
-        yield _deal_two(buckets, rid[row], pos, names, seconds, known)
+        yield _deal_two(buckets, rid[row], pos, names, seconds, known, True)
 
 
-def _deal_two(buckets, rid, pos, names, seconds, known):
+def _deal_two(buckets, rid, pos, names, seconds, known, by_pair: bool = False):
     keep, rest = np.flatnonzero(known == 0), np.flatnonzero(known)
-    first = _deal(buckets, rid[keep], pos[keep], names[keep], seconds[keep] if seconds is not None else None, known[keep])
+    first = _deal(buckets, rid[keep], pos[keep], names[keep], seconds[keep], known[keep], by_pair)
     if not len(rest):
         return first
     spread = (rid[rest].astype(np.uint64) >> np.uint64(4)) & np.uint64(0xFFFF)  # only to spread them
@@ -266,11 +271,11 @@ def _deal_two(buckets, rid, pos, names, seconds, known):
     return pa.Table.from_batches([first, second]).combine_chunks().to_batches()[0]
 
 
-def _told(table: pa.Table, homes: int) -> pa.Table:
-    """Places (kind 0) known as repeats, and (kind 1) the first of second names in names with several."""
-    rows = [x for x in zip(*(table.column(c).to_pylist() for c in ("rids", "counts", "places", "names", "seconds", "known")), strict=True)]
+def _sorted(table: pa.Table, kind: str):
+    """Entries sorted by (name, second name, place): rids, places, names, which begin a second name, and which are after its
+    first place; and the places known as repeats. kind: the type of names."""
     rid, pos, names, seconds, told_rid, told_pos = [], [], [], [], [], []
-    for a, b, c, n, s, k in rows:
+    for a, b, c, n, s, k in zip(*(table.column(x).to_pylist() for x in ("rids", "counts", "places", "names", "seconds", "known")), strict=True):
         r, p = _unpack(a, b, c)
         if k and k[0]:
             told_rid.append(r)
@@ -278,23 +283,76 @@ def _told(table: pa.Table, homes: int) -> pa.Table:
         else:
             rid.append(r)
             pos.append(p)
-            names.append(np.frombuffer(n, "<u4"))
+            names.append(np.frombuffer(n, kind))
             seconds.append(np.frombuffer(s, "<u8"))
     none = [np.zeros(0, np.int64)]
     r, p = np.concatenate(rid or none), np.concatenate(pos or none)
-    n, s = np.concatenate(names or [np.zeros(0, np.uint32)]), np.concatenate(seconds or [np.zeros(0, np.uint64)])
-    order, new, _ = _folded((n, s), r, p)
+    n, s = np.concatenate(names or [np.zeros(0, kind)]), np.concatenate(seconds or [np.zeros(0, np.uint64)])
+    order, new, sizes = _folded((n, s), r, p)
     r, p, n = r[order], p[order], n[order]
-    if len(order):
-        group = np.cumsum(np.concatenate(([True], n[1:] != n[:-1]))) - 1
-        several = np.bincount(group, weights=new)[group] > 1
-        # A place met again (a repeated row) is not after itself.
-        first_r, first_p = (np.repeat(x[new], np.diff(np.concatenate((np.flatnonzero(new), [len(r)])))) for x in (r, p))
-        repeat = ~new & ~((r == first_r) & (p == first_p))
-        edge = new & several
-    else:
-        repeat = edge = np.zeros(0, dtype=bool)
-    return _routed(homes, [(np.concatenate([*told_rid, r[repeat]]), np.concatenate([*told_pos, p[repeat]]), 0), (r[edge], p[edge], 1)])
+    # A place met again (a repeated row) is not after itself.
+    first_r, first_p = (np.repeat(x[new], sizes) for x in (r, p)) if len(order) else (r, p)
+    repeat = ~new & ~((r == first_r) & (p == first_p))
+    return r, p, n, new, repeat, np.concatenate([*told_rid, r[repeat]]) if told_rid else r[repeat], np.concatenate([*told_pos, p[repeat]]) if told_pos else p[repeat]
+
+
+def _told(table: pa.Table, homes: int) -> pa.Table:
+    """The places known as repeats (kind 0)."""
+    *_, rid, pos = _sorted(table, "<u4")
+    return _routed(homes, [(rid, pos, 0)])
+
+
+def _level(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["home", "kind", "rids", "counts", "places", "names"])
+
+
+def _paired(table: pa.Table, homes: int) -> pa.Table:
+    """Of a bucket of (name, second name): the places known as repeats (kind 0, by their home); the first place of each second
+    name with the name (kind 2, here); and how many second names a name has here (kind 3, by the name)."""
+    r, p, n, new, _, rid, pos = _sorted(table, "<u8")
+    bucket = int(table.column("bucket")[0].as_py())
+    rows = [(*x, b"") for x in zip(*(_routed(homes, [(rid, pos, 0)]).column(c).to_pylist() for c in ("home", "kind", "rids", "counts", "places")), strict=True)]
+    r, p, n = r[new], p[new], n[new]
+    if len(n):
+        order = np.lexsort((p, r))
+        rows.append((bucket, 2, *_pack(r[order], p[order]), n[order].tobytes()))
+        own, many = np.unique(n, return_counts=True)
+        where = (own % np.uint64(homes)).astype(np.int64)
+        for k in np.unique(where).tolist():
+            at = where == k
+            rows.append((k, 3, np.int64(bucket).tobytes(), np.minimum(many[at], 2).astype(np.uint8).tobytes(), b"", own[at].tobytes()))
+    return _level(rows)
+
+
+def _several(table: pa.Table) -> pa.Table:
+    """Of a bucket of names: those with several second names in all, for each bucket that has one (kind 4)."""
+    parts = [(np.frombuffer(b, "<i8")[0], np.frombuffer(c, np.uint8), np.frombuffer(n, "<u8")) for b, c, n in zip(*(table.column(x).to_pylist() for x in ("rids", "counts", "names")), strict=True)]
+    names, at = np.unique(np.concatenate([n for _, _, n in parts]), return_inverse=True)
+    several = np.bincount(at, weights=np.concatenate([c for _, c, _ in parts])) > 1
+    rows, start = [], 0
+    for bucket, _, n in parts:
+        found = n[several[at[start : start + len(n)]]]
+        start += len(n)
+        if len(found):
+            rows.append((int(bucket), 4, b"", b"", b"", found.tobytes()))
+    return _level(rows)
+
+
+def _edges(table: pa.Table, homes: int) -> pa.Table:
+    """Of a bucket of (name, second name): the first places of second names in names with several (kind 1, by their home)."""
+    first, names = [], [np.zeros(0, np.uint64)]
+    for kind, a, b, c, n in zip(*(table.column(x).to_pylist() for x in ("kind", "rids", "counts", "places", "names")), strict=True):
+        if kind == 2:
+            first.append((*_unpack(a, b, c), np.frombuffer(n, "<u8")))
+        else:
+            names.append(np.frombuffer(n, "<u8"))
+    if not first:
+        return _routed(homes, [])
+    r, p, n = (np.concatenate(x) for x in zip(*first, strict=True))
+    at = np.isin(n, np.concatenate(names))
+    return _routed(homes, [(r[at], p[at], 1)])
 
 
 def _spread(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -381,8 +439,8 @@ def _numbered(documents: DataFrame) -> DataFrame:
     texts = written(base.select(F.col("doc_id").cast("long").alias("id"), "digest").distinct(), "suffix")
     if not texts.agg((F.count("*") - F.count_distinct("id"))).first()[0]:
         return base.withColumn("rid", F.col("doc_id").cast("long"))
-    order = texts.orderBy(F.col("id").asc_nulls_first(), "digest")
-    ranked = order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, digest string, rid long")
+    # Numbers that rise from partition to partition of sorted rows, and within each.
+    ranked = texts.orderBy(F.col("id").asc_nulls_first(), "digest").withColumn("rid", F.monotonically_increasing_id())
     ranked = written(ranked, "suffix").withColumnRenamed("digest", "d")
     return base.join(ranked, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).drop("id", "d")
 
@@ -400,26 +458,35 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     copies = sized.join(_beside(alike, F.lit(48)), ["digest", "n"]).where("rid != first").select("rid").distinct()
     copies = written(copies, "suffix")
     original = docs.select("rid", "text").join(_beside(copies, F.lit(8)), "rid", "left_anti")
-    def settled(dealt: DataFrame, sort, reach: int | None = None) -> DataFrame:
-        """Dealt entries sorted by bucket, and the places found taken home to their documents."""
 
-        def by_bucket(table: pa.Table) -> pa.Table:
-            return sort(table, buckets)
+    def homed(routed: DataFrame, reach: int | None = None) -> DataFrame:
+        """Places taken home to their documents."""
 
         def by_home(table: pa.Table) -> pa.Table:
             return _home(table, reach)
 
-        return dealt.groupBy("bucket").applyInArrow(by_bucket, ROUTED).groupBy("home").applyInArrow(by_home, "rid long, repeats binary, edges binary")
+        return routed.groupBy("home").applyInArrow(by_home, "rid long, repeats binary, edges binary")
+
+    def settled(dealt: DataFrame, sort, schema: str = ROUTED, key: str = "bucket") -> DataFrame:
+        """Entries sorted by bucket, and the places found."""
+
+        def by_bucket(table: pa.Table) -> pa.Table:
+            return sort(table, buckets)
+
+        return dealt.groupBy(key).applyInArrow(by_bucket, schema)
 
     sampled = original.mapInArrow(lambda b: _sample(b, buckets), DEALT)
-    places = written(settled(sampled, _repeated).select("rid", F.col("repeats").alias("places")), "suffix")
+    places = written(homed(settled(sampled, _repeated)).select("rid", F.col("repeats").alias("places")), "suffix")
     texts = original.join(_beside(places.select("rid"), F.lit(8)), "rid", "left_semi").join(places.hint("shuffle_hash"), "rid")
     texts = written(texts, "suffix")
     second = texts.select("rid", "text", "places").mapInArrow(lambda b: _second(b, buckets), DEALT)
-    marks = written(settled(second, _told, AROUND), "suffix")
+    level = written(settled(second, _paired, LEVEL), "suffix")
+    several = level.where("kind = 3").groupBy("home").applyInArrow(_several, LEVEL)
+    edges = settled(level.where("kind = 2").unionByName(several), _edges, ROUTED, "home")
+    marks = written(homed(level.where("kind = 0").drop("names").unionByName(edges), AROUND), "suffix")
     near = marks.where(F.octet_length("edges") > 0)
     third = texts.select("rid", "text").join(_beside(near, F.octet_length("repeats") + F.octet_length("edges")), "rid").mapInArrow(lambda b: _strings(b, buckets), DEALT)
-    found = settled(third, _told, 0).select("rid", F.col("repeats").alias("found"))
+    found = homed(settled(third, _told), 0).select("rid", F.col("repeats").alias("found"))
     facts = marks.where(F.octet_length("repeats") > 0).select("rid", "repeats").join(found.where(F.octet_length("found") > 0), "rid", "full").withColumn("copy", F.lit(False))
     nothing = F.lit(None).cast("binary")
     facts = written(facts.unionByName(copies.select("rid", nothing.alias("repeats"), nothing.alias("found"), F.lit(True).alias("copy"))), "suffix")

@@ -150,6 +150,32 @@ def test_repeats_against_brute_force(docs, seed):
     assert got == brute_repeats(pairs)
 
 
+def test_a_block_in_ever_other_surroundings_is_spread(docs):
+    rng = random.Random(9)
+    line = "this one line of more than forty four bytes stands everywhere in the whole table"
+    words = lambda n: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(n))
+    pairs = [(k, f"{words(12)} {line} {words(12)}") for k in range(600)]
+    got = sorted(tuple(r) for r in D.remove_repeats(docs(pairs)).collect())
+    assert got == brute_repeats(pairs)
+    # What a slice deals for the second names: no bucket has more than its share of the line's entries.
+    import pyarrow as pa
+
+    at = [t.index(line) for _, t in pairs]
+    near = [np.array([a + 3, a + 20], np.int32).tobytes() for a in at]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs]), pa.array([t for _, t in pairs]), pa.array(near, pa.binary())], ["rid", "text", "places"])
+    sizes = [len(x) // 8 for b in D._second([batch], 20) for x in b.column(4).to_pylist()]
+    assert sum(sizes) == 1200 and max(sizes) < 3 * 1200 / 20
+
+
+def test_long_texts_across_slices(docs, monkeypatch):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    pairs = [(0, long), (1, long[5000:30_000] + "x"), (2, "q" + long[100:300]), (3, long[::-1])]
+    monkeypatch.setattr(D, "SLICE", 30_000)  # workers have their own; here it cuts what is tested directly
+    got = sorted(tuple(r) for r in D.remove_repeats(docs(pairs, parts=1)).collect())
+    assert got == brute_repeats(pairs)
+
+
 def test_repeats_of_odd_rows(docs):
     rng = random.Random(4)
     t = "".join(rng.choice("abcdef ") for _ in range(400))
