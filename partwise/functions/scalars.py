@@ -29,10 +29,11 @@ def retry_attempts(initial: int, longest: int, most: int, sleep: int = 50) -> in
     return attempts
 
 
-def nearest_rank(sorted_values: Column, q: float) -> Column:
-    """The nearest-rank percentile of a sorted array: element ceil(q * n)."""
-    n = F.size(sorted_values)
-    return F.when(n > 0, F.element_at(sorted_values, F.greatest(F.ceil(F.lit(q) * n), F.lit(1)).cast("int")))
+def attempts(initial: Column, longest: Column, most: Column, sleep: int = 50) -> Column:
+    """retry_attempts() of columns; most is at most 10."""
+    short = lambda k: F.least(initial * F.pow(F.lit(2.0), k), longest) <= sleep
+    step = lambda acc, k: F.when((acc == k + 1) & (k < most) & short(k), acc + 1).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(1), step).cast("long")
 
 
 def classify(error: Column) -> Column:

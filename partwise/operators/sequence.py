@@ -1,6 +1,7 @@
 """Reordering in closed form: where each event of a partition's entity leaves a reorder buffer without time-outs.
 
-Input: p, entity, seq, off. All windows are by (p, entity) or finer, so one shuffle serves them all.
+Input: p, entity, seq, off. All windows are by (p, entity) or finer, so one shuffle by these serves them all, also where the
+input comes dealt by p alone. Running sums over a partition go by blocks.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import SPAN, block, carried, inside
+
 FAR = 9_999_999_999
 
 
@@ -16,7 +19,7 @@ def dispositions(s: DataFrame) -> DataFrame:
     IN_ORDER, REPLACED, FLUSHED or BUFFERED."""
     entity = Window.partitionBy("p", "entity")
     same = Window.partitionBy("p", "entity", "seq")
-    a = s.withColumns(
+    a = s.repartition("p", "entity").withColumns(
         {
             "anchor": F.first("seq").over(entity.orderBy("off")),
             "occ": F.row_number().over(same.orderBy("off")),
@@ -59,22 +62,31 @@ def gaps(s: DataFrame) -> DataFrame:
     return seen.withColumn("before", before).where("seq - before > 1").select("p", "entity", (F.col("before") + 1).alias("missing_from"), (F.col("seq") - 1).alias("missing_to"))
 
 
-def depth(s: DataFrame) -> DataFrame:
+def depth(s: DataFrame, span: int = SPAN) -> DataFrame:
     """The number of buffered events of each partition after each offset: +1 when one is buffered, -1 when it is released."""
     d = dispositions(s)
     moved = F.when(F.col("disposition") == "BUFFERED", F.array(F.struct(F.col("off").alias("at"), F.lit(1).alias("d")), F.struct(F.col("rel").alias("at"), F.lit(-1).alias("d"))))
     kept = F.when(F.col("disposition") == "FLUSHED", F.array(F.struct(F.col("off").alias("at"), F.lit(1).alias("d"))))
     steps = d.select("p", F.explode(F.coalesce(moved, kept, F.array(F.struct(F.col("off").alias("at"), F.lit(0).alias("d"))))).alias("x"))
-    net = steps.groupBy("p", F.col("x.at").alias("off")).agg(F.sum("x.d").alias("d"))
-    total = F.sum("d").over(Window.partitionBy("p").orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
-    return net.select("p", "off", total.alias("depth"))
+    net = steps.groupBy("p", F.col("x.at").alias("off")).agg(F.sum("x.d").alias("d")).withColumn("__block", block(span))
+    net = carried(net, F.sum("d"), F.sum, "__carry")
+    total = F.sum("d").over(inside().rowsBetween(Window.unboundedPreceding, 0))
+    return net.select("p", "off", (total + F.coalesce("__carry", F.lit(0))).alias("depth"))
 
 
-def backpressure(s: DataFrame, most: int, resume: float = 0.8) -> DataFrame:
+def backpressure(s: DataFrame, most: int, resume: float = 0.8, span: int = SPAN) -> DataFrame:
     """Offsets at which a partition's buffer turns backpressure on (at most or more) or off (below int(most * resume))."""
     low = int(most * resume)
-    d = depth(s).withColumn("want", F.when(F.col("depth") >= most, 1).when(F.col("depth") < low, 0))
-    order = Window.partitionBy("p").orderBy("off")
-    held = F.coalesce(F.last("want", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    d = d.withColumn("active", held)
-    return d.withColumn("was", F.coalesce(F.lag("active").over(order), F.lit(0))).where("active <> was").select("p", "off", "depth", (F.col("active") == 1).alias("active"))
+    want = F.when(F.col("depth") >= most, 1).when(F.col("depth") < low, 0)
+    d = depth(s, span).withColumns({"want": want, "__block": block(span)})
+    d = carried(d, F.max_by("want", F.when(F.col("want").isNotNull(), F.col("off"))), lambda c: F.last(c, True), "__carry")
+    start = F.coalesce("__carry", F.lit(0))
+    d = d.withColumn("active", F.coalesce(F.last("want", True).over(inside().rowsBetween(Window.unboundedPreceding, 0)), start))
+    return d.withColumn("was", F.coalesce(F.lag("active").over(inside()), start)).where("active <> was").select("p", "off", "depth", (F.col("active") == 1).alias("active"))
+
+
+def stages(d: DataFrame, unreadable) -> DataFrame:
+    """Adds stage, the last one that an event came to; d: dispositions with duplicate; unreadable: what no parser takes."""
+    late = F.when(F.col("duplicate"), "DEDUPLICATION").otherwise("REORDER")
+    stage = F.when(unreadable, "DESERIALIZE").when(F.col("disposition").isin("BELOW_ANCHOR", "AFTER_RELEASE"), late).when(F.col("disposition") == "REPLACED", "REORDER")
+    return d.withColumn("stage", stage.otherwise("BUSINESS_LOGIC"))

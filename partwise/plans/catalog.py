@@ -513,6 +513,14 @@ def handler_outcomes(spark, sf_dir):
     return _handled(spark, sf_dir).select("p", "off", "ok", "error_class", "classification", "attempts", "retry_count")
 
 
+@query("SELECT p, off, CASE WHEN event_id % 3 = 0 THEN 'PERMANENT' END AS classification, event_id % 3 <> 0 AS ok, 1 AS attempts, 0 AS retry_count FROM s", VIEW)
+def handler_results(spark, sf_dir):
+    """A handler that tells a failure by its result, without an error: a permanent one, not tried again."""
+    result = F.when(F.col("event_id") % 6 == 0, "TRANSIENT_FAILURE").when(F.col("event_id") % 3 == 0, "PERMANENT_FAILURE").otherwise("SUCCESS")
+    handled = handler.handle(_view(spark, sf_dir), lambda: (result, F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return handled.select("p", "off", "classification", "ok", "attempts", "retry_count")
+
+
 RETRIES = [(b, m, r) for b in (0, 10, 25, 50, 51, 1000) for m in (20, 50, 60000) for r in (1, 3, 10)]
 
 
@@ -522,8 +530,8 @@ RETRIES = [(b, m, r) for b in (0, 10, 25, 50, 51, 1000) for m in (20, 50, 60000)
     + ") AS t(b, m, r)"
 )
 def retry_attempts(spark, sf_dir):
-    rows = [(b, m, r, scalars.retry_attempts(b, m, r)) for b, m, r in RETRIES]
-    return spark.createDataFrame(rows, "initial int, longest int, most int, attempts long")
+    df = spark.createDataFrame(RETRIES, "initial int, longest int, most int")
+    return df.withColumn("attempts", scalars.attempts(*(F.col(c) for c in df.columns)))
 
 
 # ---- health and signals
@@ -711,12 +719,7 @@ z AS (SELECT * FROM y WHERE state <> from_state)"""
 
 
 def _transitions(spark, sf_dir):
-    """Where the monitor alone would open and close a circuit: the rate rises to 0.3, or falls below."""
-    from pyspark.sql import Window
-
-    r = health.sliding_rates(_view(spark, sf_dir)).withColumn("state", F.when(F.col("failures") * 10 >= F.col("n") * 3, "OPEN").otherwise("CLOSED"))
-    was = F.coalesce(F.lag("state").over(Window.partitionBy("p").orderBy("off")), F.lit("CLOSED"))
-    return r.withColumn("from_state", was).where("state <> from_state").select("p", "off", "from_state", "state")
+    return health.transitions(_view(spark, sf_dir))
 
 
 @query("SELECT p, from_state, state, count(*) AS n FROM z GROUP BY p, from_state, state", VIEW, TRANSITIONS)
@@ -755,10 +758,8 @@ SELECT p, off, sha256('events|' || CAST(p AS VARCHAR) || '|' || CAST(off AS VARC
     ORDERED,
 )
 def pipeline_stages(spark, sf_dir):
-    d = dedup.mark_after_success(sequence.dispositions(_view(spark, sf_dir)))
-    late = F.when(F.col("duplicate"), "DEDUPLICATION").otherwise("REORDER")
-    stage = F.when(F.col("event_id") % 97 == 3, "DESERIALIZE").when(F.col("disposition").isin("BELOW_ANCHOR", "AFTER_RELEASE"), late).when(F.col("disposition") == "REPLACED", "REORDER").otherwise("BUSINESS_LOGIC")
-    return d.select("p", "off", scalars.correlation_id(F.lit("events")).alias("correlation_id"), stage.alias("stage"))
+    d = sequence.stages(dedup.mark_after_success(sequence.dispositions(_view(spark, sf_dir))), F.col("event_id") % 97 == 3)
+    return d.select("p", "off", scalars.correlation_id(F.lit("events")).alias("correlation_id"), "stage")
 
 
 @query(

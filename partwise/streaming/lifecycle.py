@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import time
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -63,16 +64,21 @@ def stop(queries, timeout_s: float = 30.0, drain: Callable[[], None] | None = No
     in_time = True
     if drain:
         drain()
-        waits = [threading.Thread(target=q.processAllAvailable, daemon=True) for q in queries if q.isActive]
-        for w in waits:
-            w.start()
-        for w in waits:
-            w.join(max(end - time.monotonic(), 0))
-            in_time &= not w.is_alive()
+        begun = datetime.now(timezone.utc).isoformat()
+        idle = lambda q: any(p.timestamp > begun and not p.numInputRows for p in q.recentProgress)
+        # A query with timers has a batch at every trigger: one begun since then that found nothing new says that all is done.
+        for q in queries:
+            timed = any(p.stateOperators for p in q.recentProgress)
+            wait = threading.Thread(target=q.processAllAvailable, daemon=True)
+            if not timed:
+                wait.start()
+            while q.isActive and (not idle(q) if timed else wait.is_alive()) and time.monotonic() < end:
+                time.sleep(0.1)
+            in_time &= idle(q) if timed else not wait.is_alive()
     for q in queries:
-        while q.isActive and q.status["isTriggerActive"] and q.status["isDataAvailable"] and time.monotonic() < end:
+        while q.isActive and q.status["isTriggerActive"] and time.monotonic() < end:
             time.sleep(0.05)
-        in_time &= not (q.isActive and q.status["isTriggerActive"] and q.status["isDataAvailable"])
+        in_time &= not (q.isActive and q.status["isTriggerActive"])
         q.stop()
     return in_time
 

@@ -122,6 +122,7 @@ def run(
     path: str,
     checkpoint: str,
     available_now: bool = True,
+    interval: str = "1 second",
     control: str | None = None,
     send: Callable[[DataFrame, str], None] | None = None,
     metrics: Metrics | None = None,
@@ -129,7 +130,7 @@ def run(
 ):
     """Starts the streaming pipeline; its checkpoint has offsets and state together. control: a folder of commands; send: where
     dead letters go (default: a table by topic in path), with a staging area in path for when it fails. Stop with
-    lifecycle.stop()."""
+    lifecycle.stop(). A run of what is available leaves timers to the next one."""
     spark = raw.sparkSession
     events, failures = parsed(raw)
     if control:
@@ -138,9 +139,10 @@ def run(
     sink = (lambda name: DeadLetterSink(spark, send, f"{path}/staged/{name}", settings.dead_letters)) if send else lambda name: None
     write = rows.writeStream.foreachBatch(write_batch(settings, path, sink=sink("rows"), metrics=metrics)).option("checkpointLocation", f"{checkpoint}/rows").outputMode("append")
     bad = unparsed_letters(failures).writeStream.foreachBatch(write_batch(settings, f"{path}/unparsed", sink=sink("unparsed"), metrics=metrics)).option("checkpointLocation", f"{checkpoint}/unparsed").outputMode("append")
-    if available_now:
-        write, bad = write.trigger(availableNow=True), bad.trigger(availableNow=True)
-    return write.start(), bad.start()
+    # Timers by processing time make a batch at every trigger; one that ends with what is available must not wait for them.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not available_now).lower())
+    when = {"availableNow": True} if available_now else {"processingTime": interval}
+    return write.trigger(**when).start(), bad.trigger(**when).start()
 
 
 def run_batch(spark: SparkSession, raw: DataFrame, handler: Callable[[dict], Any], settings: ConsumerSettings = ConsumerSettings()) -> DataFrame:

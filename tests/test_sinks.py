@@ -61,7 +61,7 @@ def test_staged_letters_survive_a_restart_and_a_failing_stage(spark, tmp_path):
 
 def test_supervisor_pauses_and_does_not_resume_by_itself():
     class Query:
-        isActive, status = True, {"isTriggerActive": False, "isDataAvailable": False}
+        isActive, status = True, {"isTriggerActive": False}
 
         def stop(self):
             self.isActive = False

@@ -1,5 +1,6 @@
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from partwise.config import BreakerSettings, ConsumerSettings, DedupSettings, ReorderSettings
@@ -8,6 +9,17 @@ from partwise.sources import streams, synthetic
 from partwise.streaming import machine as m
 from partwise.streaming import pipeline
 
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each state variable of each shuffle partition costs a commit a micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 SETTINGS = ConsumerSettings(breaker=BreakerSettings(error_rate_threshold=0.4))
 
 
@@ -44,7 +56,7 @@ def test_stream_restarts_from_its_checkpoint(spark, data, tmp_path):
     def go():
         stream = spark.readStream.schema(raw.schema).parquet(str(src))
         for q in pipeline.run(stream, calm_handler, calm, str(tmp_path / "out"), str(tmp_path / "ck")):
-            q.awaitTermination(120)
+            assert q.awaitTermination(120)
 
     go()
     first = spark.read.parquet(str(tmp_path / "out/rows")).where("disposition = 'PROCESSED'").count()
@@ -75,7 +87,7 @@ FINAL = "disposition in ('PROCESSED', 'DUPLICATE', 'LATE_DROPPED', 'REPLACED', '
 def once(spark, src, tmp_path, schema, handler, settings, **more):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(src))
     for q in pipeline.run(stream, handler, settings, str(tmp_path / "out"), str(tmp_path / "ck"), **more):
-        q.awaitTermination(180)
+        assert q.awaitTermination(120)
         yield q
 
 
@@ -187,8 +199,6 @@ def test_timers_and_drain_of_a_running_stream(spark, tmp_path):
 
 
 def test_generators_check_their_arguments(spark):
-    import pytest
-
     for account, count in (("", 5), (" ", 5), ("a", 0), ("a", 10_001)):
         with pytest.raises(ValueError):
             synthetic.sequenced(spark, account, count)
@@ -197,8 +207,6 @@ def test_generators_check_their_arguments(spark):
 
 
 def test_settings_are_checked():
-    import pytest
-
     for bad in (lambda: BreakerSettings(error_rate_threshold=0.001), lambda: ReorderSettings(max_buffer_size=0), lambda: ReorderSettings(resume_threshold=1.5), lambda: DedupSettings(retention_ms=0)):
         with pytest.raises(ValueError):
             bad()
