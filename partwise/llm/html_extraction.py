@@ -9,9 +9,12 @@
 3. A host has two wrappers: of its pages without <article> or <main>, and of what is inside these tags on the others. The
    first tells the container of most of its slots' text (main content); both tell the texts that stayed the same in
    LEAST_PAGES unlike pages or more (template text), each for its own pages.
-4. Pages are read again, with their host's findings beside them, and the main text is written out: of <article> or <main>,
-   else of the host's main container, else of the body; always without menus, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles and reader comments, which are known by tag, role, class or id, and without template text.
+4. Pages are read again, with their host's findings beside them, and the main text is written out: of <main> or <article>,
+   else of the host's main container, else of the body; of several articles side by side the one with most text, the others
+   being teasers or posts; never of an article within another, which is a reader's. It is always without menus, headers (but
+   for an article's own), footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, which are known by
+   tag or role, or by a class or id all of whose words are known: one of MARKS, the others of MARKS or PLAIN (so "ad-slot" is
+   one, "ad-hoc" is not); headings are not judged by theirs. And it is without template text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones are
 left out, and the rest is joined by "\\n" in page order. <br> is white space.
@@ -23,7 +26,7 @@ host's pages have, so a host whose pages have nothing in common makes one as lar
 Findings are joined by broadcast where they have at most SMALL rows and ten times as many texts, else by a shuffle in which
 Spark may split hot hosts.
 
-Defined cases: null or empty html: empty text, n_chars 0. Null url: host "" . Cut-off tags and pages end where the html
+Defined cases: null or empty html: empty text, n_chars 0. Null url: host "". Null page_id: kept as it is. Cut-off tags and pages end where the html
 ends. Repeated rows each get a row; other columns are ignored.
 """
 
@@ -63,13 +66,33 @@ MARKS = frozenset(
     "gdpr alert popup modal overlay newsletter subscribe signup login form search share sharing social comment comments "
     "commentlist respond reply replies disqus discussion related recommended skip toolbar copyright legal".split()
 )
+# Words that say nothing in a class or id beside one of the above.
+PLAIN = frozenset(
+    "box block list item items wrap wrapper container content inner outer section area bar panel row col slot unit zone top bottom "
+    "left right center main site page global primary secondary mobile desktop widget widgets module group nav link links "
+    "button buttons text title heading form post posts user users reader readers thread icon icons small large fixed sticky "
+    "js is has no d lg md sm xs id class div ul mini mega bottom inline floating header footer message messages".split()
+)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 BLANK = re.compile(r"\s+")
 
 
-def _left_out(name: str, attributes: str) -> bool:
-    if name in LEFT_OUT:
+HEADING = re.compile("h[1-6]")
+
+
+def _marked_as(value: str) -> bool:
+    """Whether a class or id is made of known words only, one of MARKS among them."""
+    for token in value.split():
+        words = [w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", token) if w]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
+def _left_out(name: str, attributes: str, inside: bool = False) -> bool:
+    """inside: of a story, whose own header is part of it."""
+    if name in LEFT_OUT and not (inside and name == "header"):
         return True
     if not attributes:
         return False
@@ -79,10 +102,8 @@ def _left_out(name: str, attributes: str) -> bool:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if key in ("class", "id") and name not in MAIN and name != "body" and name != "html":
-            words = {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value)}
-            if words & MARKS:
-                return True
+        if key in ("class", "id") and name not in MAIN and name not in ("body", "html") and not HEADING.fullmatch(name) and _marked_as(value):
+            return True
     return False
 
 
@@ -96,9 +117,11 @@ def _signature(name: str, attributes: str) -> str:
 
 
 def blocks(html: str):
-    """Yields (text, in main element, path of block signatures) for each block outside what is left out."""
-    stack: list[tuple[str, bool, bool, str]] = []  # name, left out, in main, signature
-    out, main, at, n = False, False, 0, len(html)
+    """Yields (text, (in <main>, number of its article or 0), path of block signatures) for each block outside what is left
+    out."""
+    outside = (False, 0)
+    stack: list[tuple[str, bool, tuple[bool, int], str]] = []  # name, left out, place, signature
+    out, main, at, n, articles = False, outside, 0, len(html), 0
     pieces: list[str] = []
 
     def flush():
@@ -152,16 +175,33 @@ def blocks(html: str):
                 at = end.end() if end else n
                 continue
             if not attributes.endswith("/") or name not in ("svg", "math"):
-                drop = out or _left_out(name, attributes)
+                drop = out or _left_out(name, attributes, main != outside) or name == "article" and main[1] > 0
                 if drop and not out and (found := flush()):
                     yield found
-                stack.append((name, drop, main or name in MAIN, "" if inline else _signature(name, attributes)))
+                place = main
+                if name == "article" and not drop:
+                    articles += 1
+                    place = (main[0], articles)
+                elif name == "main":
+                    place = (True, main[1])
+                stack.append((name, drop, place, "" if inline else _signature(name, attributes)))
         out = bool(stack) and stack[-1][1]
-        main = bool(stack) and stack[-1][2]
+        main = stack[-1][2] if stack else outside
     if found := flush():
         yield found
 
 
+def story(found: list) -> list:
+    """The blocks of <main>, else of articles; of several articles there the one with most text (the first of equal ones)."""
+    inside = [x for x in found if x[1][0]] or [x for x in found if x[1][1]]
+    size: dict[int, int] = {}
+    for text, (_, article), _ in inside:
+        if article:
+            size[article] = size.get(article, 0) + len(text)
+    best = max(size, key=lambda a: (size[a], -a), default=0)
+    return [x for x in inside if x[1][1] in (0, best)]
+
+
 # ---- wrappers: nodes are [kind, value, length, pages]; kind "t" tag, "#" text (value: hash, or None for a slot), "?" and "+"
 # groups; pages (of a text that has a value): the least LEAST_PAGES keys of unlike pages that had it there with that value
 
@@ -345,7 +385,7 @@ def _infer(batches):
             found = list(blocks(html or ""))
             if not found:
                 continue
-            main = [x for x in found if x[1]]
+            main = story(found)
             tokens = squash(stream(main or found))
             key, at = _hash(json.dumps(tokens)), (host_of(url), bool(main))
             known, seen = wrappers.get(at, (None, set()))
@@ -386,7 +426,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str | None, container: str | None = None, template=(), inside=()) -> str:
     found = list(blocks(html or ""))
-    main = [x for x in found if x[1]]
+    main = story(found)
     kept = main or [x for x in found if container and container in x[2]] or found
     drop = set((inside if main else template) or ())
     return "\n".join(t for t, _, _ in kept if not drop or _hash(t) not in drop)

@@ -195,6 +195,23 @@ def test_main_text_of_an_article():
     assert H.main_text("<article><p>cut <b>off") == "cut off" and H.main_text("<article><p>a<p") == "a"
 
 
+def test_class_words_are_judged_whole_and_teasers_left_out():
+    page = """<article><h1>T</h1><h2 id="search">Search trees</h2><p class="ad-hoc">An ad-hoc one.</p><section class="legal-analysis">
+    The law.</section><header><h2>Part one</h2></header><p>end</p><div class="ad-slot">buy</div><article class="user-post"><p>I think</p></article></article>"""
+    assert H.main_text(page) == "T\nSearch trees\nAn ad-hoc one.\nThe law.\nPart one\nend"
+    beside = "<body><article><p>teaser</p></article><article><h1>Story</h1><p>The whole long story.</p></article><article class=user-post><p>a post</p></article></body>"
+    assert H.main_text(beside) == "Story\nThe whole long story."
+    assert H.main_text(f"<main><h1>Head</h1>{beside}</main><article><p>{'outside ' * 9}</p></article>") == "Head\nStory\nThe whole long story."
+    assert H.main_text("<main><p>a</p><div id=userComments>c</div><div class='x comments'>d</div><p>b</p></main>") == "a\nb"
+
+
+def test_long_and_deeply_nested_pages(rows):
+    deep = "<div>" * 3000 + "<article><p>core</p></article>" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>P{k} &amp;</p>" for k in range(20_000)) + "</article>"
+    got = {r["page_id"]: r["text"] for r in H.extract(rows("page_id long, url string, html string", [(1, "http://d.example/", deep), (None, "http://e.example/", long)])).collect()}
+    assert got[1] == "core" and got[None] == "\n".join(f"P{k} &" for k in range(20_000))
+
+
 def test_pages_with_and_without_article(rows):
     page = lambda k: f"<html><body><div class='top-menu'>m</div><div class=content><h2>T{k}</h2><p>Text {k}</p><p>More {k}</p></div><div class=box>Same on all pages</div></body></html>"
     values = [(k, f"http://one.example/{k}", page(k), "x") for k in range(6)]
