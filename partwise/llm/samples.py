@@ -24,7 +24,8 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
     """(text, label) of at most rows rows of each label, and of at most about size bytes in all.
 
     Rows whose crc32(doc_id as text) mod folds is held_out are never read; the others are taken in the order of another hash
-    of doc_id, so the sample is the same in every run. Rows with a null doc_id, text or label are left out.
+    of doc_id, so the sample is the same in every run. Rows with a null doc_id, text or label are left out. Where ids repeat,
+    no more than 4 * rows rows are read: the sample is bounded whatever the table holds.
     """
     ids = _training(labels, label, folds, held_out)
     chance = F.xxhash64("doc_id", F.lit(label))
