@@ -1,7 +1,8 @@
 """Named queries over the test tables, each with SQL that an independent engine runs on the same tables.
 
 The stream view of `events` (sources.streams.stream_view) stands in for a topic of six partitions; its offsets serve as
-seconds. Queries without SQL are stateful; the tests hold them against a row-at-a-time simulator.
+seconds. The stateful machine is held against SQL a row at a time under settings of which one part after the other shows
+(stateful_*); all of its parts at once, which SQL does not express, against the machine run in one process.
 """
 
 from __future__ import annotations

@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from ..schema import PAYMENT, RAW
 
 
-def subscribe(spark: SparkSession, topics: list[str], bootstrap: str = "", format: str = "kafka", path: str = "", max_records: int = 500) -> DataFrame:
-    """A stream of raw records of topics from the earliest offset. Any other format reads RAW-shaped files from path."""
+def subscribe(
+    spark: SparkSession,
+    topics: list[str],
+    bootstrap: str = "",
+    format: str = "kafka",
+    path: str = "",
+    max_records: int = 1_000_000,
+    starting: str = "earliest",
+    group: str | None = None,
+    max_files: int = 1,
+) -> DataFrame:
+    """A stream of raw records of topics. max_records: of a micro-batch, over all partitions; starting: earliest, latest, or
+    offsets by topic and partition as JSON, for a pipeline without a checkpoint; group: the consumer group's name at the broker.
+    Any other format reads RAW-shaped files from path, max_files in a micro-batch."""
     if not topics:
         raise ValueError("no topics to subscribe to")
+    if max_records < 1 or max_files < 1:
+        raise ValueError("a micro-batch takes one record or file at least")
     if format == "kafka":
-        options = {"kafka.bootstrap.servers": bootstrap, "subscribe": ",".join(topics), "startingOffsets": "earliest", "includeHeaders": "true", "maxOffsetsPerTrigger": str(max_records)}
-        return spark.readStream.format("kafka").options(**options).load()
-    return spark.readStream.format(format).schema(RAW).option("maxFilesPerTrigger", "1").load(path).where(F.col("topic").isin(topics))
+        options = {"kafka.bootstrap.servers": bootstrap, "subscribe": ",".join(topics), "startingOffsets": starting, "includeHeaders": "true", "maxOffsetsPerTrigger": str(max_records)}
+        return spark.readStream.format("kafka").options(**options, **({"kafka.group.id": group} if group else {})).load()
+    return spark.readStream.format(format).schema(RAW).option("maxFilesPerTrigger", str(max_files)).load(path).where(F.col("topic").isin(topics))
 
 
 def last_header(name: str, headers: Column | None = None) -> Column:

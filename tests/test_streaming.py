@@ -210,5 +210,12 @@ def test_settings_are_checked():
     for bad in (lambda: BreakerSettings(error_rate_threshold=0.001), lambda: ReorderSettings(max_buffer_size=0), lambda: ReorderSettings(resume_threshold=1.5), lambda: DedupSettings(retention_ms=0)):
         with pytest.raises(ValueError):
             bad()
-    with pytest.raises(ValueError):
-        streams.subscribe(None, [])
+    for bad in ({"topics": []}, {"topics": ["t"], "max_records": 0}, {"topics": ["t"], "max_files": 0}):
+        with pytest.raises(ValueError):
+            streams.subscribe(None, **bad)
+
+
+def test_subscribing_to_files(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = start_at(spark, [(0, k, 100 + k, "a", k + 1, "CREDIT") for k in range(3)], src, "a")
+    assert rows.columns and streams.subscribe(spark, ["events"], format="parquet", path=str(src), max_files=2).isStreaming
