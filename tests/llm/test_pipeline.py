@@ -40,3 +40,22 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
         docs_out = stage(spark, docs_in, str(tmp_path))
         assert docs_out.columns == docs_in.columns
         assert stage(spark, docs_in.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Clashing columns, repeated ids with unlike texts, repeated rows, null ids, and a very long text."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"v{rng.randint(0, 9999)}" for _ in range(n)) + "."
+    a, b, long = words(80), words(90), words(60_000)
+    pairs = [(5, a), (5, b), (5, a), (None, b), (None, words(70)), (7, None), (8, long), (9, long)]
+    docs_in = docs(pairs, clash=True)
+    docs_in.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs_in, str(tmp_path))
+        assert out.columns == docs_in.columns
+        docs_in = out.persist()
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in docs_in.collect())
+    assert kept == sorted([("5", a), ("5", b), ("None", pairs[4][1]), ("8", long)])
+    got = P.packing(spark, docs_in, str(tmp_path)).toPandas()
+    assert got["length"].sum() == sum(len(packing.encoder().encode_ordinary(t)) + 1 for _, t in kept)
