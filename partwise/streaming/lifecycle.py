@@ -76,10 +76,12 @@ def stop(queries, timeout_s: float = 30.0, drain: Callable[[], None] | None = No
                 time.sleep(0.1)
             in_time &= idle(q) if timed else not wait.is_alive()
     for q in queries:
-        while q.isActive and q.status["isTriggerActive"] and time.monotonic() < end:
+        while not drain and q.isActive and q.status["isTriggerActive"]:
+            if time.monotonic() >= end:
+                in_time = False
+                break
             time.sleep(0.05)
-        in_time &= not (q.isActive and q.status["isTriggerActive"])
-        q.stop()
+        q.stop()  # a drained query is at most in a batch without rows
     return in_time
 
 

@@ -99,16 +99,21 @@ def write_batch(settings: ConsumerSettings, path: str, format: str = "parquet",
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
+            now = int(time.time() * 1000)
+            if sink:
+                sink.retry(now, f"batch={batch_id}-retry")
+            if batch.isEmpty():  # a batch for timers only
+                return
             batch.write.mode("overwrite").partitionBy("disposition").format(format).save(f"{path}/rows/batch={batch_id}")
             if metrics:
                 metrics.update(batch)
-            out, now = letters(batch, settings.dead_letters), int(time.time() * 1000)
-            if sink is None:
-                by_topic(f"{path}/letters", format)(out, f"batch={batch_id}")
+            out = letters(batch, settings.dead_letters)
+            if out.isEmpty():
+                return
+            if sink:
+                sink.route(out, now, f"batch={batch_id}")
             else:
-                sink.retry(now, f"batch={batch_id}-retry")
-                if not out.isEmpty():
-                    sink.route(out, now, f"batch={batch_id}")
+                by_topic(f"{path}/letters", format)(out, f"batch={batch_id}")
         finally:
             batch.unpersist()
 

@@ -181,7 +181,7 @@ def test_timers_and_drain_of_a_running_stream(spark, tmp_path):
     queries = pipeline.run(stream, refuser(), settings, str(tmp_path / "out"), str(tmp_path / "ck"), available_now=False, control=str(control), metrics=metrics)
     rows = lambda: spark.read.parquet(str(tmp_path / "out/rows"))
     for _ in range(200):
-        if (tmp_path / "out/rows").exists() and rows().where("release_reason = 'TIMEOUT'").count():
+        if list(tmp_path.glob("out/rows/*/_SUCCESS")) and rows().where("release_reason = 'TIMEOUT'").count():
             break
         time.sleep(0.3)
     assert [r["detail"] for r in rows().where("disposition = 'GAP'").collect()] == ["2-2"]  # no further row was needed
