@@ -49,23 +49,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(column, limit: int = CHUNK_BYTES, sep: str = " "):
-    """Yields (first row, last row + 1, bytes, offsets); each text is followed by sep, offsets[i] starts row i."""
+    """Yields (first row, last row + 1, bytes, offsets); each text is followed by sep, offsets[i] starts row i. Only one slice of
+    the column is copied at a time."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if not n:
         return
     kind = pa.large_string()
-    column = pc.fill_null(column.cast(kind), pa.scalar("", kind))
-    if sep:
-        column = pc.binary_join_element_wise(column, pa.scalar("", kind), pa.scalar(sep, kind))
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + len(sep)
+    ends = np.concatenate(([0], np.cumsum(size)))
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+        texts = pc.fill_null(column.slice(i, j - i).cast(kind), pa.scalar("", kind))
+        if sep:
+            texts = pc.binary_join_element_wise(texts, pa.scalar("", kind), pa.scalar(sep, kind))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + j - i + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        yield i, j, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         i = j
 
 

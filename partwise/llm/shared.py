@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FALLBACK = "/tmp/partwise-checkpoints"
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,9 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{FALLBACK}").rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds what goes to a Python worker at once to BATCH_BYTES, however long the texts: memory outside the heap follows it."""
+    if (spark.conf.get(BATCH_SETTING, None) or f"{64 << 20}b") == f"{64 << 20}b":
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -36,6 +44,7 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

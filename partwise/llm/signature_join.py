@@ -48,7 +48,7 @@ from .shared import beside, parallelism, written
 
 SHINGLE, PERCENT = 5, 80
 MORE, FEW = 10, 8
-ORDERED, LOCAL_LEAST, COMMON, HELD = 1 << 17, 2, 6, 1 << 22
+ORDERED, LOCAL_LEAST, COMMON, HELD = 1 << 17, 2, 6, 1 << 21
 BLOCK = 2_000_000
 FOLD, FOLD_WORDS, SPREAD, KEYS = 256, 500_000, 8, ("low1", "low2", "high1")
 FAN, BITS_PER_TOKEN, MOST_BITS = 16, 4, 1 << 16
@@ -465,7 +465,7 @@ def _classes(texts: DataFrame, block: int) -> DataFrame:
     original = texts.join(beside(copies), "vertex", "left_anti").select("vertex", "text")
     known = stars(original, vertices)
     n_tokens = vertices.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0] * (100 - PERCENT + MORE) // 100
-    buckets, order = int(max(parallelism(spark), n_tokens // 1_000_000)), Order(common_tokens(original))
+    buckets, order = int(max(parallelism(spark), n_tokens // 500_000)), Order(common_tokens(original))
     dealt = original.mapInArrow(lambda b: _prefixes(b, order, buckets), "bucket long, tokens binary, vertices binary, sizes binary")
 
     def shared(t: pa.Table) -> pa.Table:
