@@ -76,8 +76,10 @@ def process(events: DataFrame, handler: Callable[[dict], Any], settings: Consume
         events = events.withColumn("command", F.lit(None).cast("string"))
     if not events.isStreaming:
         spark.streams.active  # noqa: B018 - makes the state store's coordinator for a batch query
-        # Sorted before the operator, so that it takes a partition in chunks.
-        ordered = events.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+        # Sorted before the operator, so that it takes a partition in chunks. With a number Spark does not join small shuffle
+        # partitions, whose topic partitions would then go through one task.
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = events.repartition(tasks, "topic", "partition").sortWithinPartitions("topic", "partition", "offset")
         return ordered.groupBy("topic", "partition").transformWithStateInPandas(PartitionProcessor(handler, settings, flush, False), OUTPUT, "Append", "None")
     state = None if initial is None else initial.select("topic", "partition", "state").groupBy("topic", "partition")
     return events.groupBy("topic", "partition").transformWithStateInPandas(PartitionProcessor(handler, settings), OUTPUT, "Append", "ProcessingTime", state)
